@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, packing, simhash
+from lodestone.llm import langid, mixing, packing, quality, simhash
 
 #: The language model learns from keys of the other remainders (fixed value).
 FOLDS, HELD_OUT = 4, 2
@@ -34,6 +34,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, ranks, public_tokenizers.PATTERN)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.measured(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judged(rows).select("doc.doc_id", *counts)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,47 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_best_fit_packing, op7_simhash, op10_mixing)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_language_id, op5_best_fit_packing, op6_quality_rules, op7_simhash, op10_mixing)
+}
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[ 	-]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+frequent AS (
+  SELECT source, line
+  FROM (SELECT source, line, count(DISTINCT t) AS n FROM lines GROUP BY source, line)
+  JOIN hosts USING (source) WHERE n > 10 AND n > 0.2 * docs),
+gone AS (
+  SELECT doc_id, sum(len(regexp_extract_all(line, '{WORD}'))) AS n
+  FROM lines JOIN frequent USING (source, line) GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0) AS n_gone
+  FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_gone <= 0.5 * n_words AS kept
+FROM counted
+""",
+}

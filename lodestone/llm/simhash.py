@@ -213,6 +213,23 @@ def near_duplicates(
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate component: that of the least id.
+
+    Of several rows with that id one stays; null ids come after all others.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    hashed = materialise(
+        with_fingerprint(docs.select(whole, F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")), "t", "fp")
+        .drop("t"),
+        "prints",
+    )
+    key = F.col("doc").getField(id_col)
+    groups = group_ids(hashed.select("fp", F.struct(key.isNull(), key, "row").alias("id")), radius)
+    first = groups.select(F.col("least.row").alias("row")).distinct()
+    return hashed.join(first, "row", "left_semi").select("doc.*")
+
+
 def group_ids(hashed: DataFrame, radius: int = 4) -> DataFrame:
     """``(id, fp)`` rows to one ``(fp, least)`` row per print: the least id of its component."""
     prints = materialise(hashed.groupBy("fp").agg(F.min("id").alias("id")), "classes")

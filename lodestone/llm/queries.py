@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, mixing, packing, quality, simhash
+from lodestone.llm import langid, media, mixing, packing, quality, simhash, warc
 
 #: The language model learns from keys of the other remainders (fixed value).
 FOLDS, HELD_OUT = 4, 2
@@ -20,6 +20,10 @@ def fold(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % FOLDS
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold() != HELD_OUT))
@@ -44,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
@@ -52,7 +60,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_language_id, op5_best_fit_packing, op6_quality_rules, op7_simhash, op10_mixing)
+    for f in (
+        op2_warc,
+        op3_language_id,
+        op5_best_fit_packing,
+        op6_quality_rules,
+        op7_simhash,
+        op9_media_chunks,
+        op10_mixing,
+    )
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,7 +88,8 @@ again AS (
 repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[ 	-]+', ' ', 'g')) AS line
+  SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[ 	-
+]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, source, t, unnest(l) AS x FROM d)),
 hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 frequent AS (

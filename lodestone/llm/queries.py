@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, media, mixing, packing, quality, simhash, warc
+from lodestone.llm import (
+    langid,
+    license_scan,
+    media,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    toolcalls,
+    warc,
+)
+from lodestone.llm.common import new_path
 
 #: The language model learns from keys of the other remainders (fixed value).
 FOLDS, HELD_OUT = 4, 2
@@ -20,6 +32,15 @@ def fold(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % FOLDS
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree by source and language; one that opens with a notice is a licence file."""
+    opens = F.coalesce(F.col("text").rlike(r"(?i)^[^\n.]{0,40}licen[cs]e"), F.lit(False))
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"))
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    return license_scan.scan(docs)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -32,6 +53,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals by ranges of doc_id, compacted; every document with the shard that holds it."""
+    docs = table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    bounds = [low + (high - low + 1) * k // 4 for k in range(1, 4)] if low is not None else []
+    key, store = F.col("doc_id"), sharding.ShardStore(spark, new_path(spark, "shards"))
+    for k in range(len(bounds) + 1):
+        after = key >= bounds[k - 1] if k else F.lit(True)
+        before = key < bounds[k] if k < len(bounds) else F.lit(True)
+        late = (after & before) if k else (key.isNull() | before)
+        store.append(docs.where(late))
+    store.compact()
+    store.vacuum()
+    rows, shards = store.read(), store.manifest()
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return rows.join(shards, rows._shard == shards.shard).select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"), "shard", "tier", F.col("added").alias("version")
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json
@@ -48,6 +89,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = toolcalls.chat_messages(table(spark, sf_dir, "conversations"))
+    return toolcalls.linked(chats, toolcalls.REPLY).withColumnRenamed("conv", "conv_id")
+
+
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -61,11 +107,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_warc,
         op3_language_id,
+        op4_sharding,
         op5_best_fit_packing,
         op6_quality_rules,
         op7_simhash,
+        op8_tool_calls,
         op9_media_chunks,
         op10_mixing,
     )
@@ -74,6 +123,31 @@ QUERIES = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op8_tool_calls": """
+WITH users AS (
+  SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run
+  FROM conversations WHERE role = 'user'),
+calls AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS depth FROM users),
+turns AS (
+  SELECT m.conv_id, m.turn, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN m.turn WHEN 'assistant' THEN m.turn - 1 END AS ref
+  FROM conversations m),
+named AS (SELECT *, 'call-' || conv_id || '-' || ref AS id FROM turns),
+answered AS (SELECT conv_id, ref, count(*) AS n FROM named WHERE kind = 'result' GROUP BY conv_id, ref)
+SELECT n.conv_id, n.turn, n.kind, n.id, 2 * c.depth + (n.kind = 'result')::BIGINT AS step,
+  CASE n.kind WHEN 'result' THEN CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END
+    WHEN 'message' THEN 'message' ELSE CASE WHEN a.n > 0 THEN 'answered' ELSE 'unanswered' END END AS status,
+  CASE n.kind
+    WHEN 'call' THEN '{"arguments":' || to_json('{"prompt":' || to_json(text) || ',"turn":' || n.turn || '}')
+      || ',"id":' || to_json(n.id) || ',"kind":"call","tool":"reply"}'
+    WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":' || to_json(n.id) || ',"kind":"result"}'
+    ELSE '{"content":' || to_json(text) || ',"kind":"message"}' END AS json
+FROM named n
+LEFT JOIN calls c ON c.conv_id = n.conv_id AND c.turn = n.ref
+LEFT JOIN answered a ON a.conv_id = n.conv_id AND a.ref = n.ref
+""",
     "op6_quality_rules": rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,

@@ -112,10 +112,11 @@ class _Span:
 def _is_record(span: _Span, offset: int) -> bool:
     """Whether a gzip member that starts here decodes to the header of a WARC record."""
     try:
-        head = zlib.decompressobj(31).decompress(span.at(offset, 4096), HEADER)
+        head = zlib.decompressobj(31).decompress(span.at(offset, HEADER), HEADER)
     except zlib.error:
         return False
-    return head.startswith(b"WARC/1.") and (b"\r\nWARC-Type:" in head or len(head) < 32)
+    head, end, _ = head.partition(b"\r\n\r\n")
+    return head.startswith(b"WARC/1.") and bool(end) and b"\r\nWARC-Type:" in head
 
 
 def _member(span: _Span, offset: int) -> tuple[bytes, int]:
@@ -131,8 +132,12 @@ def _member(span: _Span, offset: int) -> tuple[bytes, int]:
 
 
 def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records that start in [start, end), wherever they end."""
-    span, offset = _Span(file, size), start
+    """(offset, content) of the records that start in [start, end), wherever they end.
+
+    Within a file, the first record found must be followed by another or by the end, lest an
+    archived archive's record is taken for one.
+    """
+    span, offset, sure = _Span(file, size), start, not start
     while offset < end:
         data = span.at(offset, len(MAGIC))
         hit = data.find(MAGIC)
@@ -144,8 +149,11 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
             return
         if _is_record(span, offset):
             content, after = _member(span, offset)
-            yield offset, content
-            offset = after
+            if sure or after == size or span.at(after, len(MAGIC)).startswith(MAGIC):
+                yield offset, content
+                offset, sure = after, True
+            else:
+                offset += 1
         else:
             offset += 1
 

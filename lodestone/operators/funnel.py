@@ -69,7 +69,7 @@ def backed(signals: Column, evidence: Column) -> Column:
 
 def local_payment(signals: Column, evidence: Column, region: Column) -> Column:
     """Whether one backed signal shows a payer's payment in the target region."""
-    target = identity_text(region)
+    target = fold(region)
     paid = lambda s: (
         F.replace(fold(s["type"]), F.lit(" "), F.lit("_")).isin(*PAYMENT_TYPES)
         & (fold(F.coalesce(s["region"], s["market"])) == target)
@@ -217,7 +217,7 @@ def expanded(benchmarks: DataFrame, limit: int = 200, scans: int = 5000) -> Data
     order = Window.orderBy("turn", "pos")
     scanned = rows.withColumn("candidate_id", key).withColumn("scan", F.row_number().over(order)).where(F.col("scan") <= scans)
     first = F.min("scan").over(Window.partitionBy("candidate_id"))
-    return scanned.where(F.col("scan") == first).orderBy("scan").limit(limit)
+    return scanned.withColumn("_first", first).where("scan = _first").drop("_first").orderBy("scan").limit(limit)
 
 
 def hypotheses(changed: dict[str, tuple[Column, Column]], required: dict[str, Column]) -> Column:

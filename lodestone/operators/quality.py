@@ -127,7 +127,12 @@ def best_rank_merge(rows: DataFrame, url: str, rank: Column, position: Column) -
 
 def merged_requests(requests: DataFrame, fingerprint: str, order: str, arrays: list[str]) -> DataFrame:
     """Requests of one fingerprint as one: the first stays, arrays of all are joined in order."""
-    gathered = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, a))), lambda x, a=a: x[a]))).alias(a) for a in arrays]
+
+    def in_order(name: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.struct(order, name)))
+        return F.array_distinct(F.flatten(F.transform(pairs, lambda x: x[name]))).alias(name)
+
+    gathered = [in_order(a) for a in arrays]
     rest = [c for c in requests.columns if c not in arrays]
     return requests.groupBy(F.col(fingerprint).alias("_f")).agg(F.min_by(F.struct(*rest), order).alias("_row"), *gathered).select("_row.*", *arrays)
 

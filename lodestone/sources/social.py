@@ -161,16 +161,31 @@ def normalised(responses: DataFrame) -> DataFrame:
     return found.withColumn("warnings", warnings)
 
 
+def _counts(f: Format) -> tuple[Column, Column]:
+    """Of an array ``_rows``: entries with an id, and entries that hold no content by design."""
+
+    def item(e: Column) -> Column:
+        return F.coalesce(*[F.try_variant_get(e, p, "variant") for p in f.items])
+
+    def parsed(e: Column) -> Column:
+        return item(e).isNotNull() & first_text(item(e), f.id).isNotNull()
+
+    def noise(e: Column) -> Column:
+        return F.try_variant_get(e, f.noise, "variant").isNotNull() & item(e).isNull()
+
+    none = F.lit(0)
+    skipped = F.coalesce(F.size(F.filter("_rows", noise)), none) if f.noise else none
+    return F.coalesce(F.size(F.filter("_rows", parsed)), none), skipped
+
+
 def parse_status(responses: DataFrame) -> DataFrame:
     """By request: raw and parsed items and parsed, partial_parse, empty_result or unrecognized_response."""
     parts = []
     for source, f in FORMATS.items():
-        rows = listed(responses, source)
-        item = lambda e, f=f: F.coalesce(*[F.try_variant_get(e, p, "variant") for p in f.items])
-        noise = (lambda e, f=f: F.try_variant_get(e, f.noise, "variant").isNotNull() & F.coalesce(F.lit(False))) if f.noise else (lambda e: F.lit(False))
-        parsed = F.size(F.filter("_rows", lambda e, item=item, f=f: item(e).isNotNull() & first_text(item(e), f.id).isNotNull()))
-        skipped = F.size(F.filter("_rows", lambda e, item=item, noise=noise: noise(e) & item(e).isNull()))
-        parts.append(rows.select("source", "request_id", F.col("_rows").isNotNull().alias("known"), F.coalesce(F.size("_rows"), F.lit(0)).alias("all"), F.coalesce(parsed, F.lit(0)).alias("parsed_items"), F.coalesce(skipped, F.lit(0)).alias("skipped_items")))
+        parsed, skipped = _counts(f)
+        known = F.col("_rows").isNotNull().alias("known")
+        size = F.coalesce(F.size("_rows"), F.lit(0)).alias("all")
+        parts.append(listed(responses, source).select("source", "request_id", known, size, parsed.alias("parsed_items"), skipped.alias("skipped_items")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -24,8 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What this session has put in the shared folder.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this session has put in the shared folder, and returns how many paths that was.
+
+    For use once results are written: DataFrames that operators returned may read these files.
+    """
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -226,9 +226,9 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", lang
             columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    at = docs.columns.index(text)
     kept = [c for c in docs.columns if c not in (lang, score)]
     names = [*kept, lang, score]
     at = kept.index(text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"{lang} string, {score} double"])
-    return docs.select(*kept, has_letter(F.col(text)).alias("_letter")).mapInArrow(run, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], has_letter(F.col(text)).alias("_letter"))
+    return rows.mapInArrow(run, schema)

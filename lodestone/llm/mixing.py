@@ -104,5 +104,5 @@ def mix(
         .withColumn("_times", times)
         .where("_times > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-        .select(*docs.columns)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -54,7 +54,7 @@ def test_draws_are_uniform(spark):
 
 
 def test_the_mix_repeats_documents(spark):
-    docs = table(spark)
+    docs = table(spark).withColumn("a.b", F.lit(1))
     mix = mixing.mix(docs)
     assert mix.columns == docs.columns
     found = Counter(r.doc_id for r in mix.collect())

@@ -3,7 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from lodestone.llm import mixing, quality, simhash
+from lodestone.llm import common, mixing, simhash
 from lodestone.llm.common import materialise
 from tests.llm.documents import SCHEMA, rows, table
 from tests.llm.test_mixing import plain_targets
@@ -43,7 +43,12 @@ def test_stages_act_on_what_the_one_before_kept(spark, tmp_path):
     assert Counter(tuple(r[c] for c in columns) for r in whole) == Counter(tuple(r[c] for c in columns) for r in packed)
 
 
+def test_shared_files_can_be_released(spark):
+    common.release(spark)
+    kept = materialise(spark.range(3).toDF("n"), "kept")
+    assert kept.count() == 3 and common.release(spark) == 1 and common.release(spark) == 0
+
+
 def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert quality is not None

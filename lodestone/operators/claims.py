@@ -95,3 +95,28 @@ def context_union(hits: DataFrame, snapshot: DataFrame, keys: dict[str, DataFram
     for p in parts[1:]:
         found = found.unionByName(p)
     return found.dropDuplicates(["evidence_id", "revision_id"])
+
+
+def compact(items: DataFrame, provenance: tuple[str, ...] = ("raw_file", "raw_ref", "raw_refs", "derivation_refs", "engagement", "query_metadata")) -> DataFrame:
+    """Items for a packet: no provenance, titles of at most 200 characters, and no field that repeats the text."""
+    kept = items.drop(*provenance)
+    changes = {"title": F.substring("title", 1, 200)} if "title" in kept.columns else {}
+    for c in ("text", "fact", "quote"):
+        if c in kept.columns and "original_text" in kept.columns:
+            changes[c] = F.when(~F.col(c).eqNullSafe(F.col("original_text")), F.col(c))
+    return kept.withColumns(changes)
+
+
+def basis(rationale: Column, refs: Column, located: Column) -> Column:
+    """struct(reference_validation, missing) of what backs a score or choice; it changes neither."""
+    lacking = F.array_compact(F.array(F.when(F.trim(F.coalesce(rationale, F.lit(""))) == "", "rationale"), F.when(F.coalesce(refs, F.lit(0)) == 0, "evidence_refs")))
+    state = F.when(F.coalesce(refs, F.lit(0)) == 0, "missing").when(located == refs, "located").otherwise("invalid")
+    return F.struct(state.alias("reference_validation"), lacking.alias("missing"))
+
+
+def evidence_index(evidence: DataFrame, packet: DataFrame) -> DataFrame:
+    """All evidence with whether the packet holds it and what it waits for."""
+    held = packet.select("evidence_id", "revision_id", F.lit(True).alias("in_packet"))
+    rows = evidence.join(held, ["evidence_id", "revision_id"], "left").withColumn("in_packet", F.coalesce("in_packet", F.lit(False)))
+    reason = F.when(F.col("derivation_status") == "needs_review", "derivation_review").when(F.col("semantic_status") == "not_reviewed", "semantic_review").when(~F.col("in_packet"), "not_in_packet")
+    return rows.withColumn("review_reason", reason)

@@ -165,3 +165,22 @@ def upstream_error(response: Column, depth: int = 4) -> Column:
         here = F.when(failed, "upstream_success_false").when(~code.isin(0, 200), "upstream_non_success_code").when(~empty, "upstream_error_payload")
         found = F.coalesce(found, here)
     return found
+
+
+def verified_candidates(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``candidates`` with the evidence that someone opened for them.
+
+    ``evidence``: evidence_id, revision_id, url, original_text, supporting_quote, method, retracted.
+    It must show the same post or address, have been opened, and hold its quote.
+    """
+    opened = evidence.where(
+        F.col("method").isin("opened_page", "authorized_browser") & ~F.coalesce("retracted", F.lit(False)) & F.coalesce(F.col("original_text").contains(F.col("supporting_quote")), F.lit(False))
+    )
+    found = opened.withColumn("key", candidate_key(F.col("url"))).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("evidence_id", "revision_id"))).alias("verified_by"))
+    return candidates.join(found, "key", "left").withColumn("verified", F.col("verified_by").isNotNull())
+
+
+def fallbacks(requests: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """Alternatives that may stand in for a request: same query group, scope and keyword, another source."""
+    alt = alternatives.select(F.col("id").alias("fallback_id"), F.col("source").alias("fallback_source"), "query_group", "query_scope", "keyword")
+    return requests.join(alt, ["query_group", "query_scope", "keyword"]).where(F.col("fallback_source") != F.col("source"))

@@ -84,3 +84,35 @@ def matching(items: DataFrame, status: str | None = None, industry: str | None =
 def duplicate_ids(items: DataFrame, key: str) -> DataFrame:
     """Ids that stand more than once; a valid document has none."""
     return items.groupBy(key).count().where("count > 1")
+
+
+def contract_problems(document: Column, required: list[str], optional: list[str]) -> Column:
+    """Fields that a JSON object lacks or shouldn't have, as 'no x' and 'unknown x'."""
+    keys = F.json_object_keys(document)
+    lacking = F.transform(F.array_except(F.array(*[F.lit(k) for k in sorted(required)]), keys), lambda k: F.concat(F.lit("no "), k))
+    extra = F.transform(F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in (*required, *optional)]))), lambda k: F.concat(F.lit("unknown "), k))
+    return F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.concat(lacking, extra))
+
+
+def dangling(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """References of ``items`` (item_id, refs array<struct<id,revision_id>>) that no evidence answers."""
+    refs = items.select("item_id", F.explode("refs").alias("r")).select("item_id", "r.*")
+    return refs.join(evidence.select("id", "revision_id"), ["id", "revision_id"], "left_anti")
+
+
+def report_differences(stated: DataFrame, computed: DataFrame) -> DataFrame:
+    """Rows that a report states and recomputing doesn't give, and the other way round."""
+    a, b = stated.select(*computed.columns), computed
+    return a.exceptAll(b).withColumn("side", F.lit("stated")).unionByName(b.exceptAll(a).withColumn("side", F.lit("computed")))
+
+
+def in_scope(items: DataFrame, industries: list[str]) -> DataFrame:
+    """Items with the industries of theirs that are in scope; those with none go."""
+    kept = items.withColumn("industry_ids", F.array_intersect("industry_ids", F.array(*[F.lit(i) for i in industries])))
+    return kept.where(F.size("industry_ids") > 0)
+
+
+def with_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A row per item and reference, with the evidence that it names."""
+    refs = items.select("item_id", F.explode("refs").alias("r")).select("item_id", "r.*")
+    return refs.join(evidence, ["id", "revision_id"])

@@ -68,3 +68,29 @@ def promotions(signals: DataFrame, opportunity_prefix: str = "OPP") -> DataFrame
         F.struct(new.alias("record_id"), F.lit("opened").alias("kind"), F.col("signal_id").alias("other_id")),
     )
     return signals.where("promoted").select(F.explode(pair).alias("e"), "day").select("e.*", "day")
+
+
+def experiments(rows: DataFrame, cutoff: Column) -> DataFrame:
+    """The latest snapshot of each experiment as of a cutoff, and whether it can set a priority.
+
+    Only one that ended with an outcome and traceable evidence can; it never changes a tier.
+    """
+    seen = latest(rows, "experiment_id", ["as_of", "observed_at"], cutoff)
+    ended = F.col("status").isin("completed", "stopped") & (F.trim(F.coalesce("outcome", F.lit(""))) != "")
+    return seen.withColumn("usable_for_priority", ended & (F.coalesce("traceable_evidence", F.lit(0)) > 0))
+
+
+def supported_signals(signals: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``signals`` that still stand on current evidence.
+
+    ``signals``: record_id, signal_no, evidence_id, evidence_revision_id, facts (array);
+    ``revisions``: the current revision of each record's evidence with version, retracted and
+    facts. What was revised must be cited by its revision, and with facts that it still states;
+    what was retracted supports nothing.
+    """
+    now = revisions.where((F.col("version") > 1) | F.col("retracted")).select(
+        F.col("record_id").alias("_r"), F.col("evidence_id").alias("_e"), F.col("revision_id").alias("_v"), F.col("retracted").alias("_gone"), F.col("facts").alias("_facts")
+    )
+    joined = signals.join(now, (signals.record_id == now._r) & (signals.evidence_id == now._e), "left")
+    bound = F.col("_v").eqNullSafe(F.col("evidence_revision_id")) & (F.size("facts") > 0) & (F.size(F.array_except("facts", "_facts")) == 0)
+    return joined.where(F.col("_v").isNull() | (~F.col("_gone") & bound)).select(*signals.columns)

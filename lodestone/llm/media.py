@@ -103,7 +103,8 @@ def recipes(chunks: DataFrame, key: str) -> DataFrame:
     others. Rows stay with their pack, so that a task reads few packs.
     """
     place = F.min(F.struct("pack", "offset", "stored")).alias("at")
-    canonical = chunks.groupBy("digest").agg(place)
+    # Written, so that a digest with many chunks is a plain join's hot key, which Spark splits.
+    canonical = materialise(chunks.groupBy("digest").agg(place), "canonical")
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         chunks.select("part", "row", key, "n_bytes", "nth", "digest", "size")

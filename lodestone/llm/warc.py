@@ -46,6 +46,7 @@ def with_record_type(pages: DataFrame, key: str = "page_id", payload: str = "htm
         .groupBy("_digest").agg(F.max(key).alias("_owner"))
         .withColumnRenamed("_digest", "_of")
     )
+    owner = materialise(owner, "owners")  # so that the join below is a plain one, whose hot keys Spark splits
     joined = sized.join(owner, sized._digest == owner._of, "left")
     own = (F.col("_bytes") < least) | F.col(key).eqNullSafe(F.col("_owner"))
     return joined.withColumn("_refers_to", F.when(~own, F.col("_owner"))).withColumn("_revisit", ~own).drop("_of", "_owner")

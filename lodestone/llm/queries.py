@@ -123,6 +123,35 @@ QUERIES = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op2_warc": """
+WITH d AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS owner FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform([1, 11, 21, 31], lambda k: array_to_string(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, k, 10))::BIGINT >> s) & 31), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM h
+""",
+    "op10_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 3.0::DOUBLE * source_size AS top, 3.0::DOUBLE * source_size / weight AS ratio FROM w),
+p AS (
+  SELECT sum(top) OVER o AS held, sum(weight) OVER o AS used, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+    lead(ratio) OVER (ORDER BY ratio, source) AS next, min(ratio) OVER () AS first, row_number() OVER (ORDER BY ratio, source) AS k
+  FROM r WINDOW o AS (ORDER BY ratio, source ROWS UNBOUNDED PRECEDING)),
+l AS (
+  SELECT 0 AS k, total / weights AS level, first AS next FROM p UNION
+  SELECT k, (total - held) / (weights - used), next FROM p WHERE weights > used),
+t AS (SELECT source, source_size, least(top, weight * (SELECT arg_min(level, k) FROM l WHERE next IS NULL OR next > level)) AS target FROM r),
+m AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5('20:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) * size)::BIGINT AS taken FROM m
+""",
     "op8_tool_calls": """
 WITH users AS (
   SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run

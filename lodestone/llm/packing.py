@@ -209,8 +209,8 @@ def pack(
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan_bins(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        "part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
+    shifts = materialise(
+        counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")), "shifts"
     )
 
     @F.pandas_udf("sequence_id long, offset long")

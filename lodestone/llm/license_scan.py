@@ -141,6 +141,7 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
         .groupBy(F.col("_dir").alias("_below"))
         .agg(F.max_by(F.struct("_license", "_from"), "up.depth").alias("_near"))
     )
+    nearest = materialise(nearest, "nearest")  # a row per directory; a plain join's hot keys are split
     joined = rows.join(nearest, rows._dir == nearest._below, "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in files.columns],

@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: The folder made for an application that names none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a local one is made and set.
+    Only where the session names none (tests, a single machine) a local one is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        named = _own[app]
+    # With its scheme, so that tasks, which don't know Spark's default store, find it too.
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 #: What this session has put in the shared folder.

@@ -75,6 +75,10 @@ def test_links_of_dense_buckets_equal_brute_force(spark, monkeypatch):
     mask = (1 << 64) - 1
     near = [(a, b) for a, b in itertools.combinations(prints, 2) if ((a ^ b) & mask).bit_count() <= 4]
     frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    two = groups([tuple(r) for r in simhash.near_links(frame.limit(40), parts=2).collect()], prints)
+    some = [r.fp for r in frame.limit(40).collect()]
+    plain_some = groups([(a, b) for a, b in near if a in some and b in some], prints)
+    assert all((two[a] == two[b]) == (plain_some[a] == plain_some[b]) for a, b in itertools.combinations(some, 2))
     links = [tuple(r) for r in simhash.near_links(frame).collect()]
     want, found = groups(near, prints), groups(links, prints)
     assert all((want[a] == want[b]) == (found[a] == found[b]) for a, b in itertools.combinations(prints, 2))

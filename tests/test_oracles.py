@@ -5,8 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import queries
+from lodestone.plans import more_queries, queries
 
+assert more_queries.query is queries.query
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no tables here")
 

@@ -91,7 +91,8 @@ def frequent_lines(rows: DataFrame, least: int, share: float) -> DataFrame:
     own = rows.select("host", "content", F.explode("lines.line").alias("line"))
     per_line = own.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
     per_host = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    per_host = per_host.withColumnRenamed("host", "of")
+    # A row per host, written: a host with a third of all lines is then a plain join's hot key.
+    per_host = materialise(per_host.withColumnRenamed("host", "of"), "hosts")
     per_line = per_line.where(F.col("n") > least)
     return (
         per_line.join(per_host, per_line.host.eqNullSafe(per_host.of))

@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialise, words
 
 
+def _in_turn(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """``sizes`` with ``weight``: the weights in turn, by code point of the source, null last.
+
+    Sources are dealt by range, so that any number of them is ranked by many tasks: the rank in
+    the range plus the counts of the ranges before, of which the driver gets one each.
+    """
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    sizes = materialise(sizes, "sizes")  # the ranges are sampled first
+    ranged = materialise(sizes.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "ranges")
+    shifts, before = [], 0
+    for r in ranged.groupBy("part").count().orderBy("part").collect():
+        shifts += [0] * (r.part - len(shifts)) + [before]
+        before = (before + r["count"]) % len(weights)
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    shift = F.get(F.array(*[F.lit(k) for k in shifts or [0]]), F.col("part"))
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    return ranged.withColumn("weight", F.get(turn, (nth + shift) % len(weights))).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
     """``(source, source_size)`` to ``(source, source_size, target)``.
 
     Sources in code-point order, null last, take ``weights`` in turn and share the total size.
     A target stops at ``limit`` times its source's size; the excess goes to the others by
-    weight until none is above. Only sums come to the driver; sources stay a table.
+    weight until none is above. Only sums and the ranges' counts come to the driver; sources
+    stay a table.
     """
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    turn = F.array(*[F.lit(float(w)) for w in weights])
-    table = materialise(
-        sizes.withColumn("weight", F.get(turn, nth % len(weights))), "sources"
-    )
+    table = materialise(_in_turn(sizes, weights), "sources")
     top = F.col("source_size") * F.lit(float(limit))
     total = float(table.agg(F.sum("source_size")).first()[0] or 0)
     level, capped = 0.0, -1
@@ -94,15 +111,17 @@ def mix(
     )
     goals = materialise(targets(sizes, weights, limit), "targets")
     g = goals.select(
-        F.col("source").alias("_of"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
+        F.col("source").alias("of"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
     )
-    whole = F.floor("_rate")
-    times = whole + (uniform(F.col(id_col), seed) < F.col("_rate") - whole).cast("long")
+    # The document in one column, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("from"), F.col(id_col).alias("id"))
+    whole = F.floor("rate")
+    times = whole + (uniform(F.col("id"), seed) < F.col("rate") - whole).cast("long")
     return (
-        docs.join(g, docs[source].eqNullSafe(g._of))
-        .withColumn("_times", times)
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows.join(g, rows["from"].eqNullSafe(g.of))
+        .select("doc", times.alias("times"))
+        .where("times > 0")
+        .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        .select("doc.*")
     )

@@ -32,6 +32,14 @@ def test_targets_share_the_excess(spark):
         assert found == pytest.approx(want)
 
 
+def test_many_sources_take_the_weights_in_turn(spark):
+    names = [f"s{k:03d}" for k in range(200)] + ["\uffff", "\U0001f600", None]
+    frame = spark.createDataFrame([(x, 7) for x in names], "source string, source_size long")
+    for parts in (1, 3, 50):
+        found = {r.source: r.target for r in mixing.targets(frame.repartition(parts)).collect()}
+        assert found == pytest.approx(plain_targets(dict.fromkeys(names, 7)))
+
+
 def test_copies_follow_the_rate(spark):
     docs = table(spark)
     found = mixing.mixed(docs).collect()
@@ -54,7 +62,7 @@ def test_draws_are_uniform(spark):
 
 
 def test_the_mix_repeats_documents(spark):
-    docs = table(spark).withColumn("a.b", F.lit(1))
+    docs = table(spark).withColumns({c: F.lit(1) for c in ("a.b", "of", "rate", "doc", "from", "id", "times", "_rate", "_of")})
     mix = mixing.mix(docs)
     assert mix.columns == docs.columns
     found = Counter(r.doc_id for r in mix.collect())

@@ -8,6 +8,7 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class ShardStore:
@@ -20,6 +21,8 @@ class ShardStore:
     the list of shards, never rows of data. Nothing is deleted but by ``vacuum``.
     """
 
+    _schema: StructType | None = None
+
     def __init__(self, spark: SparkSession, base: str, target: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20):
         self.spark, self.base, self.target, self.fanout, self.smallest = spark, base.rstrip("/"), target, fanout, smallest
 
@@ -77,7 +80,7 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         """Adds arrivals as the shards their partitions make; returns the new version."""
-        version = self.version()
+        version, self._schema = self.version(), rows.schema
         self.commit(self.manifest(version).unionByName(self._written(rows, version + 1)), version + 1)
         return version + 1
 
@@ -98,10 +101,16 @@ class ShardStore:
             self.commit(rest.unionByName(self._written(merged, version + 1)), version + 1)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``_shard``: where each is stored."""
+        """The rows of a version, with ``_shard``: where each is stored.
+
+        A store without rows gives none, with the columns of what was appended; one to which
+        nothing was ever appended has no columns, and raises.
+        """
         shards = [r.shard for r in self.manifest(version).select("shard").collect()]
         if not shards:
-            raise ValueError("the store has no rows")
+            if self._schema is None:
+                raise ValueError("nothing was appended")
+            return self.spark.createDataFrame([], self._schema).withColumn("_shard", F.lit(None).cast("string"))
         rows = self.spark.read.parquet(*(f"{self.base}/{s}" for s in shards))
         return rows.withColumn("_shard", F.array_join(F.slice(F.split("_metadata.file_path", "/"), -3, 3), "/"))
 

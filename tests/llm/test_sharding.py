@@ -38,7 +38,8 @@ def test_a_version_is_committed_once(spark, tmp_path):
 def test_an_empty_store(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}")
     assert store.version() == 0 and store.manifest().count() == 0 and store.compact() == 0
-    store.append(table(spark).where("false"))
-    assert store.version() == 1 and store.manifest().count() == 0
     with pytest.raises(ValueError):
         store.read()
+    store.append(table(spark).where("false"))
+    assert store.version() == 1 and store.manifest().count() == 0
+    assert store.read().count() == 0 and store.read().columns == [*table(spark).columns, "_shard"]

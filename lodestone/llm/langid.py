@@ -167,8 +167,9 @@ def fit(
 
     Document frequencies count all rows. The weights are fitted on a bounded sample: of each
     language the ``per_language`` rows of least key hash, features and no texts, so the driver
-    gets at most languages * per_language rows of at most 2**bits features. A fifth of the
-    sample is held back to calibrate the temperature.
+    gets some 2 * languages * per_language rows of at most 2**bits features. Of rows that
+    repeat a key one is in the sample. A fifth of the sample is held back to calibrate the
+    temperature.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
     h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 40))
@@ -192,7 +193,9 @@ def fit(
         df[r.feature] = r.df
     idf = np.log((1 + sum(per.values())) / (1 + df)) + 1
     sample: dict[str, list] = {k: [] for k in languages}
-    for r in found.where("df is null").select("lang", "h", "at", "n").toLocalIterator():
+    # One row of each key: repeated keys, however many, don't add to what the driver gets.
+    once = found.where("df is null").groupBy("lang", "h").agg(F.min(F.struct("at", "n")).alias("x"))
+    for r in once.select("lang", "h", "x.at", "x.n").toLocalIterator():
         sample[r.lang].append((r.h, bytes(r["at"]), bytes(r.n)))
     xs, ys, held = [], [], []
     for k, name in enumerate(languages):

@@ -54,6 +54,14 @@ def test_held_out_accuracy_and_undetermined_texts(spark):
     assert found.where("score < 0 or score > 1 or (lang_pred = 'und' and score <> 0)").count() == 0
 
 
+def test_repeated_keys_are_sampled_once(spark):
+    docs = table(spark).where("doc_id is not null and lang = 'aa'").select("text", "lang", F.lit(7).alias("doc_id"))
+    others = table(spark).where("doc_id is not null and lang <> 'aa'").select("text", "lang", "doc_id")
+    model = langid.fit(docs.union(others))
+    assert model.languages == ["aa", "bb", "cc"]
+    assert langid.with_language(others, model).where("lang_pred not in (lang, 'und')").count() == 0
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.fit(empty) is None

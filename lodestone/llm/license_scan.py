@@ -123,31 +123,34 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
     to its ancestors once, however many files it holds. ``effective`` is a file's own licence,
     else the inherited one. Null paths inherit nothing.
     """
-    rows = files.withColumn("_dir", directory(F.col(path)))
-    name = F.regexp_extract(F.col(path), "[^/]*$", 0)
+    # The file in one column, so that no name can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in files.columns])
+    rows = files.select(whole.alias("file"), directory(F.col(path)).alias("dir"), F.col(path).alias("path"), "license", "score")
+    name = F.regexp_extract("path", "[^/]*$", 0)
     speaking = (
         rows.where(F.col("license").isNotNull() & name.rlike(LICENCE_FILE))
-        .groupBy(F.col("_dir").alias("_from"))
-        .agg(F.min_by("license", F.struct((-F.col("score")).alias("s"), F.col(path).alias("p"))).alias("_license"))
+        .groupBy(F.col("dir").alias("from"))
+        .agg(F.min_by("license", F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))).alias("speaks"))
     )
-    parts = F.split("_dir", "/")
+    parts = F.split("dir", "/")
     above = F.transform(
         F.sequence(F.lit(0), F.size(parts)),
         lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("dir")),
     )
-    tree = rows.select("_dir").where("_dir is not null").distinct().select("_dir", F.explode(above).alias("up"))
+    tree = rows.select("dir").where("dir is not null").distinct().select("dir", F.explode(above).alias("up"))
     nearest = (
-        tree.join(speaking, F.col("up.dir") == F.col("_from"))
-        .groupBy(F.col("_dir").alias("_below"))
-        .agg(F.max_by(F.struct("_license", "_from"), "up.depth").alias("_near"))
+        tree.join(speaking, F.col("up.dir") == F.col("from"))
+        .groupBy(F.col("dir").alias("below"))
+        .agg(F.max_by(F.struct("speaks", "from"), "up.depth").alias("near"))
     )
     nearest = materialise(nearest, "nearest")  # a row per directory; a plain join's hot keys are split
-    joined = rows.join(nearest, rows._dir == nearest._below, "left")
+    joined = rows.join(nearest, rows.dir == nearest.below, "left")
+    added = ("inherited", "inherited_from", "effective")
     return joined.select(
-        *[F.col(f"`{c}`") for c in files.columns],
-        F.col("_near._license").alias("inherited"),
-        F.col("_near._from").alias("inherited_from"),
-        F.coalesce("license", "_near._license").alias("effective"),
+        *[F.col("file").getField(c).alias(c) for c in files.columns if c not in added],
+        F.col("near.speaks").alias("inherited"),
+        F.col("near.from").alias("inherited_from"),
+        F.coalesce("license", "near.speaks").alias("effective"),
     )
 
 

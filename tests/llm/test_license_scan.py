@@ -3,7 +3,7 @@ from __future__ import annotations
 from lodestone.llm import license_scan
 from lodestone.llm.license_scan import TEMPLATES, Matcher
 
-SCHEMA = "path string, text string, _dir string"
+SCHEMA = "path string, text string, dir string"
 
 
 def test_every_notice_is_its_own_best_match():

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import quote_span
+from lodestone.operators.ranks import numbered, numbered_within
 
 
 def visibility(clocks: list[Column], observed: Column, cutoff: Column) -> Column:
@@ -72,9 +73,12 @@ def diversified(items: DataFrame, fields: list[str], order: str) -> DataFrame:
     An item's turn is the most often that any of its field values has come before; so the first
     items of every industry, role, task and source go before second ones.
     """
-    turns = [F.row_number().over(Window.partitionBy(f).orderBy(order)) for f in fields]
-    rows = items.withColumn("turn", F.greatest(*turns) if len(turns) > 1 else turns[0])
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("turn", order)))
+    rows = items
+    for k, f in enumerate(fields):
+        rows = numbered_within(rows, [f], [order], f"_turn{k}")
+    turns = [F.col(f"_turn{k}") for k in range(len(fields))]
+    rows = rows.withColumn("turn", F.greatest(*turns) if len(turns) > 1 else turns[0])
+    return numbered(rows.drop(*[f"_turn{k}" for k in range(len(fields))]), ["turn", order], "position")
 
 
 def reading_batches(items: DataFrame, position: str, max_items: int = 15) -> DataFrame:

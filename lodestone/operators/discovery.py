@@ -7,12 +7,13 @@ from datetime import date
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse, fold
 from lodestone.functions.urls import evidence_url, public_url, x_post_id
 from lodestone.operators.ledger import reservations
+from lodestone.operators.ranks import numbered, numbered_within
 
 #: Ends of follow-up queries by purpose and language (fixed values).
 SUFFIXES = {("alternative", "zh"): "现成方法 替代 服务", ("non_adoption", "zh"): "试过 放弃 没有购买 原因", ("alternative", "en"): "alternatives services", ("non_adoption", "en"): "tried stopped using why"}
@@ -70,8 +71,7 @@ def broad_families(families: DataFrame, as_of: date, most: int = 8) -> list[str]
     """
     n = families.count()
     start = as_of.toordinal() % n if n else 0
-    place = F.row_number().over(Window.orderBy("task_family_id")) - 1
-    rows = families.withColumn("_place", F.pmod(place - F.lit(start), F.lit(max(n, 1))))
+    rows = numbered(families, ["task_family_id"], "_place").withColumn("_place", F.pmod(F.col("_place") - 1 - F.lit(start), F.lit(max(n, 1))))
     picked, industries, languages = [], set(), {"unknown"}
     while len(picked) < min(most, n):
         new = lambda c, seen: F.size(F.array_except(c, F.array(*[F.lit(s) for s in sorted(seen)]).cast("array<string>")))
@@ -85,9 +85,7 @@ def broad_families(families: DataFrame, as_of: date, most: int = 8) -> list[str]
 
 def in_turns(requests: DataFrame, topic: str, order: list[str]) -> DataFrame:
     """``requests`` with ``place``: topics take turns, each by its own order."""
-    turn = F.row_number().over(Window.partitionBy(topic).orderBy(*order))
-    rows = requests.withColumn("turn", turn)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("turn", *order)))
+    return numbered(numbered_within(requests, [topic], order, "turn"), ["turn", *order], "place")
 
 
 def affordable(requests: DataFrame, prices: DataFrame, limit: Decimal, most: int = 12) -> DataFrame:
@@ -97,9 +95,9 @@ def affordable(requests: DataFrame, prices: DataFrame, limit: Decimal, most: int
     after it may still fit; at most ``most`` are selected.
     """
     priced = requests.join(prices.select("endpoint", F.col("cost").alias("list_cost_usd")), "endpoint", "left").withColumn("_home", F.lit(1))
-    taken = reservations(priced.where("list_cost_usd is not null"), "_home", ["place"], limit).select("id", "accepted")
-    nth = F.sum(F.coalesce("accepted", F.lit(False)).cast("int")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    rows = priced.join(taken, "id", "left").withColumn("_nth", nth)
+    taken = reservations(priced.where("list_cost_usd is not null"), "_home", ["place"], limit).select("id", "place", "accepted")
+    nth = numbered(taken.where("accepted"), ["place"], "_nth").select("id", "_nth")
+    rows = priced.join(taken.drop("place"), "id", "left").join(nth, "id", "left")
     decision = F.when(F.col("list_cost_usd").isNull(), "live_price_unavailable").when(~F.col("accepted"), "budget_limit").when(F.col("_nth") > most, "batch_limit").otherwise("selected")
     return rows.withColumn("decision", decision).drop("_home", "_nth", "accepted")
 

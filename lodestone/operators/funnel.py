@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.ids import fingerprint
 from lodestone.functions.text import fold, identity_text, present
 from lodestone.functions.urls import evidence_url, source_key
+from lodestone.operators.ranks import numbered_within
 
 #: Signals that show demand (fixed values).
 DEMAND_TYPES = (
@@ -161,11 +162,10 @@ def families(candidates: DataFrame, family: str, tier_col: str, order: str) -> D
 def capped(rows: DataFrame, tier_col: str, order: str, caps: dict[str, int] | None = None) -> DataFrame:
     """``rows`` with bucket: emitted or overflow past a tier's cap. Nothing is dropped."""
     caps = CAPS if caps is None else caps
-    nth = F.row_number().over(Window.partitionBy(tier_col).orderBy(order))
     limit = F.lit(None).cast("int")
     for name, n in caps.items():
         limit = F.when(F.col(tier_col) == name, F.lit(n)).otherwise(limit)
-    return rows.withColumn("nth", nth).withColumn("bucket", F.when(F.col("nth") > limit, "overflow").otherwise("emitted"))
+    return numbered_within(rows, [tier_col], [order], "nth").withColumn("bucket", F.when(F.col("nth") > limit, "overflow").otherwise("emitted"))
 
 
 def near_misses(rejected: DataFrame, reasons: str, key: str, n: int = 20) -> DataFrame:
@@ -214,8 +214,8 @@ def expanded(benchmarks: DataFrame, limit: int = 200, scans: int = 5000) -> Data
     rows = rows.withColumns(picks).drop(*AXES, "_total")
     names = [a.removesuffix("s") for a in AXES]
     key = F.concat(F.lit("CAND-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "benchmark_id", *[F.coalesce(identity_text(F.col(n)), F.lit("")) for n in names]), 256), 1, 10)))
-    order = Window.orderBy("turn", "pos")
-    scanned = rows.withColumn("candidate_id", key).withColumn("scan", F.row_number().over(order)).where(F.col("scan") <= scans)
+    budget = rows.withColumn("candidate_id", key).orderBy("turn", "pos").limit(scans)  # so the window has few rows
+    scanned = budget.withColumn("scan", F.row_number().over(Window.orderBy("turn", "pos")))
     first = F.min("scan").over(Window.partitionBy("candidate_id"))
     return scanned.withColumn("_first", first).where("scan = _first").drop("_first").orderBy("scan").limit(limit)
 
@@ -250,8 +250,7 @@ def scored(candidates: DataFrame, track: str = "track", scores: str = "scores")
 
 def ranked(rows: DataFrame, score: str, order: str, partition: list[str] | None = None) -> DataFrame:
     """``rows`` with ``rank`` by falling score; ties keep their order."""
-    window = Window.partitionBy(*(partition or [])).orderBy(F.col(score).desc_nulls_last(), order)
-    return rows.withColumn("rank", F.row_number().over(window))
+    return numbered_within(rows, partition or [], [F.col(score).desc_nulls_last(), order], "rank")
 
 
 def prioritised(candidates: DataFrame, priorities: DataFrame, axes: dict[str, str]) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import BROAD_TERMS, query_terms, scripts, terms
 from lodestone.functions.times import window_status
 from lodestone.functions.urls import content_url
+from lodestone.operators.ranks import numbered_within
 
 #: States of a request that count as failures (fixed values).
 FAILURES = ("error", "auth-required", "rate-limited", "skipped-policy", "partial", "unrecognized_response", "upstream_error", "partial_parse")
@@ -141,5 +142,6 @@ def engagement_rank(rows: DataFrame, relevance: Column, score: Column, recent: C
     """``rows`` with ``rank`` in each partition: relevance class, lexical score, recency, then log engagement."""
     level = F.when(relevance == "relevant", 2).when(relevance == "unknown", 1).otherwise(0)
     total = F.log1p(F.aggregate(F.map_values(engagement), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
-    window = Window.partitionBy(*partition).orderBy(level.desc(), score.desc(), recent.desc(), F.coalesce(total, F.lit(0.0)).desc(), order)
-    return rows.withColumn("rank", F.row_number().over(window))
+    keys = {"_level": level, "_score": score, "_recent": recent, "_total": F.coalesce(total, F.lit(0.0))}
+    by = [F.col(k).desc() for k in keys]
+    return numbered_within(rows.withColumns(keys), partition, [*by, order], "rank").drop(*keys)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranks import numbered, numbered_within
+
 
 def word_array(text: Column) -> Column:
     """Lower-case runs of word characters, repeats included."""
@@ -64,15 +66,16 @@ def reciprocal_rank_fusion(streams: DataFrame, key: str = "key", k: int = 60, li
         F.array_sort(F.collect_list(F.struct("stream", "rank"))).alias("matches"),
     )
     order = [F.col("score").desc(), F.col("seen"), F.col(key)]
-    if limit:
-        fused = fused.orderBy(*order).limit(limit)
-    return fused.withColumn("position", F.row_number().over(Window.orderBy(*order))).select(key, "position", "score", "matches")
+    if limit:  # the window has few rows then
+        found = fused.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    else:
+        found = numbered(fused, order, "position")
+    return found.select(key, "position", "score", "matches")
 
 
 def recency_order(rows: DataFrame, partition: list[str] | None = None) -> DataFrame:
     """``rows`` with the fallback ``rank``: last observed first, then by id."""
-    window = Window.partitionBy(*(partition or [])).orderBy(F.col("last_observed_at").desc(), "evidence_id")
-    return rows.withColumn("rank", F.row_number().over(window))
+    return numbered_within(rows, partition or [], [F.col("last_observed_at").desc(), "evidence_id"], "rank")
 
 
 def expected_idf(documents: int, df: int) -> float:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, text, times
+from lodestone.functions.shared import new_path
 from lodestone.operators import coverage, derivations, discovery, funnel, ledger, library, publish, quality, retrieval, rules, state
 from lodestone.plans.queries import KIND, STATE, TIER, WORDS, candidates, labelled, moment, query, site_catalogue, table
 from lodestone.sources import readers
@@ -163,8 +162,7 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-25 00:00:00' GROUP BY event_type")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream: each once into the log, those after a day into the quarantine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    base = f"{named.rstrip('/')}/lodestone-stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     late = lambda b: b.where(F.col("ts") > moment("2024-01-25 00:00:00"))
     ingest.ingest(ingest.observations(spark, f"{sf_dir}/events.parquet*", schema), f"{base}/log", f"{base}/late", f"{base}/state", late).awaitTermination()

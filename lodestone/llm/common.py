@@ -2,70 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import materialise, new_path, release, shared_folder  # noqa: F401
+
 #: A word: a run of anything but the six ASCII white-space characters (fixed value).
 SPACE = r"[\x20\x09-\x0D]"
 
 
-#: The folder made for an application that names none.
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a single machine) a local one is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        named = _own[app]
-    # With its scheme, so that tasks, which don't know Spark's default store, find it too.
-    path = spark._jvm.org.apache.hadoop.fs.Path(named)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-#: What this session has put in the shared folder.
-_made: list[str] = []
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_folder(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def release(spark: SparkSession) -> int:
-    """Deletes what this session has put in the shared folder, and returns how many paths that was.
-
-    For use once results are written: DataFrames that operators returned may read these files.
-    """
-    gone = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    This cuts the lineage: what was computed survives the loss of an executor, and costly
-    Python stages don't run twice.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words of ``text``; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

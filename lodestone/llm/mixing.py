@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialise, words
-
-
-def _in_turn(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
-    """``sizes`` with ``weight``: the weights in turn, by code point of the source, null last.
-
-    Sources are dealt by range, so that any number of them is ranked by many tasks: the rank in
-    the range plus the counts of the ranges before, of which the driver gets one each.
-    """
-    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.col("source").asc_nulls_last()
-    sizes = materialise(sizes, "sizes")  # the ranges are sampled first
-    ranged = materialise(sizes.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()), "ranges")
-    shifts, before = [], 0
-    for r in ranged.groupBy("part").count().orderBy("part").collect():
-        shifts += [0] * (r.part - len(shifts)) + [before]
-        before = (before + r["count"]) % len(weights)
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    shift = F.get(F.array(*[F.lit(k) for k in shifts or [0]]), F.col("part"))
-    turn = F.array(*[F.lit(float(w)) for w in weights])
-    return ranged.withColumn("weight", F.get(turn, (nth + shift) % len(weights))).drop("part")
+from lodestone.operators.ranks import numbered
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
@@ -33,10 +14,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: flo
 
     Sources in code-point order, null last, take ``weights`` in turn and share the total size.
     A target stops at ``limit`` times its source's size; the excess goes to the others by
-    weight until none is above. Only sums and the ranges' counts come to the driver; sources
-    stay a table.
+    weight until none is above. Only sums and the counts of ranges come to the driver; sources
+    stay a table, ranked by many tasks.
     """
-    table = materialise(_in_turn(sizes, weights), "sources")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    sizes = materialise(sizes, "sizes")  # the ranges are sampled first
+    nth = numbered(sizes, [F.col("source").asc_nulls_last()], "nth")
+    table = materialise(nth.withColumn("weight", F.get(turn, (F.col("nth") - 1) % len(weights))).drop("nth"), "sources")
     top = F.col("source_size") * F.lit(float(limit))
     total = float(table.agg(F.sum("source_size")).first()[0] or 0)
     level, capped = 0.0, -1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import quote_span
@@ -81,6 +81,24 @@ def diversified(items: DataFrame, fields: list[str], order: str) -> DataFrame:
     return numbered(rows.drop(*[f"_turn{k}" for k in range(len(fields))]), ["turn", order], "position")
 
 
+def trimmed(items: DataFrame, packet: list[str], text: str, order: str, size: str, max_chars: int, least: int = 100) -> DataFrame:
+    """``items`` with texts cut so that their packet has at most ``max_chars``, and ``text_truncated``.
+
+    The longest text is cut first, by what the packet is over but by ``least`` characters at the
+    least; if all of it isn't enough, the next longest, and so on. ``size`` is an item's length as
+    written, its text included. A packet that stays over without any text keeps empty texts.
+    """
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    longest = Window.partitionBy(*packet).orderBy(F.desc("_length"), order)
+    rows = items.withColumn("_length", length).withColumn("_over", F.sum(size).over(Window.partitionBy(*packet)) - max_chars)
+    gone = F.coalesce(F.sum("_length").over(longest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_over", F.col("_over") - gone)
+    cut = F.when(F.col("_over") > 0, F.least(F.col("_length"), F.greatest(F.col("_over"), F.lit(least)))).otherwise(0)
+    rows = rows.withColumn("_cut", cut)
+    kept = F.when(F.col("_cut") > 0, F.substr(F.col(text), F.lit(1), (F.col("_length") - F.col("_cut")).cast("int"))).otherwise(F.col(text))
+    return rows.withColumn(text, kept).withColumn("text_truncated", F.col("_cut") > 0).drop("_length", "_over", "_cut")
+
+
 def reading_batches(items: DataFrame, position: str, max_items: int = 15) -> DataFrame:
     """``items`` with the batch READ-nnnn in which they are read."""
     n = F.floor((F.col(position) - 1) / max_items) + 1

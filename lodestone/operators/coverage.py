@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: What a covered topic must show (fixed values).
 DIMENSIONS = ("recent_user_behavior", "commercial_benchmark", "alternative", "counter_evidence")
 BEHAVIOUR_ROLES = ("user_behavior", "community_behavior", "payment_behavior", "user_feedback")
+NOT_MADE = ("not_requested", "skipped-policy", "needs_host_queries", "skipped")
 WINDOWS = {"in_window": "recent_evidence_count", "out_of_window": "out_of_window_evidence_count", "uncertain": "uncertain_date_evidence_count", "unknown": "unknown_date_evidence_count"}
 
 
@@ -94,6 +95,30 @@ def topic_status(c: dict[str, Column]) -> Column:
     return F.when((c["failures"] > 0) & (c["material"] > 0), "partial").otherwise(rule)
 
 
+def verified_coverage(topics: DataFrame, material: DataFrame, attempts: DataFrame, by: str) -> DataFrame:
+    """The first contract's coverage: a row per topic, which only verified evidence makes reviewed.
+
+    ``topics``: the topic and scheduled; ``material``: the topic, object_key, source, fresh,
+    relevance_status, verified, is_demo; ``attempts``: the topic, source, request_id, status.
+    Requests that were never made don't count as attempts. Demos are material and no more.
+    """
+    real, fresh = ~F.coalesce("is_demo", F.lit(False)), F.coalesce("fresh", F.lit(False))
+    checked = F.coalesce("verified", F.lit(False))
+    flags = {
+        "material_count": fresh, "related_evidence_count": fresh & real & (checked | (F.col("relevance_status") == "relevant")),
+        "verified_evidence_count": fresh & real & checked, "historical_evidence_count": ~fresh,
+    }
+    objects = material.groupBy(by, "object_key").agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+    counts = objects.groupBy(by).agg(*[F.count_if(n).alias(n) for n in flags])
+    made = attempts.where(~F.coalesce("status", F.lit("")).isin(*NOT_MADE))
+    failed = ~F.coalesce("status", F.lit("")).isin("ok", "succeeded", "no-results")
+    requests = made.groupBy(by, "source", "request_id").agg(F.bool_or(failed).alias("_failed"))
+    requests = requests.groupBy(by).agg(F.count("*").alias("request_count"), F.count_if("_failed").alias("failed_request_count"))
+    rows = topics.join(counts, by, "left").join(requests, by, "left").fillna(0, [*flags, "request_count", "failed_request_count"])
+    names = {"reviewed": "verified_evidence_count", "related": "related_evidence_count", "material": "material_count", "failures": "failed_request_count", "attempts": "request_count", "scheduled": "scheduled"}
+    return rows.withColumn("status", topic_status({k: F.col(c) for k, c in names.items()}))
+
+
 def research_quality(rows: DataFrame) -> DataFrame:
     """One row: current and historical evidence, reviewed or not, and why there may be no result.
 

@@ -14,21 +14,24 @@ POSITIVE_BEHAVIORS = ("repeat_usage", "repeat_purchase", "creative_output", "lea
 
 
 def _parts(*texts: Column, constraints: Column | None = None) -> Column:
-    limits = F.array_sort(F.array_distinct(F.transform(F.coalesce(constraints, F.array().cast("array<string>")), fold)))
+    none = F.array().cast("array<string>")
+    limits = F.array_sort(F.array_distinct(F.transform(none if constraints is None else F.coalesce(constraints, none), fold)))
     return F.to_json(F.struct(limits.alias("constraints"), *[identity_text(t).alias(f"t{i}") for i, t in enumerate(texts)]))
 
 
-def identified(observations: DataFrame) -> DataFrame:
+def identified(observations: DataFrame, product: str | None = None) -> DataFrame:
     """``observations`` with task_family_id, cluster_id and observation_id.
 
     A family is who does what under which constraints; a cluster adds the need; an observation
-    the quotes. Products aren't part of any, so one need spans products.
+    the quotes. Products aren't part of any, so one need spans products; the first contract's
+    clusters, for which ``product`` names a column, are needs of one product, whatever the
+    constraints.
     """
     user, task, limits = F.col("target_user"), F.col("task"), F.col("constraints")
     refs = F.array_sort(F.col("evidence_refs"))
     rows = observations.withColumns({
         "task_family_id": prefixed("TASK", _parts(user, task, constraints=limits), 16),
-        "cluster_id": prefixed("NEED", _parts(user, task, F.col("need"), constraints=limits), 16),
+        "cluster_id": prefixed("NEED", _parts(F.col(product), user, task, F.col("need")) if product else _parts(user, task, F.col("need"), constraints=limits), 16),
     })
     return rows.withColumn("observation_id", prefixed("OBS", F.concat_ws("|", "cluster_id", F.to_json(refs)), 16))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import claims, coverage, discovery, funnel, publish, retrieval, rules, state
+from lodestone.operators import claims, coverage, discovery, funnel, needs, publish, retrieval, rules, state
 from lodestone.plans.queries import moment, query, table
 
 
@@ -246,6 +246,51 @@ def score_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found["reference_validation"].alias("reference_validation"), F.array_join(found["missing"], ",").alias("missing"))
 
 
+@query("""
+WITH i AS (SELECT conv_id, turn, text, length(text) AS n, sum(length(text) + 20) OVER (PARTITION BY conv_id) - 700 AS over FROM conversations),
+g AS (SELECT *, over - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY n DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM i),
+c AS (SELECT *, CASE WHEN rest > 0 THEN least(n, greatest(rest, 100)) ELSE 0 END AS cut FROM g)
+SELECT conv_id, turn, substr(text, 1, (n - cut)::BIGINT) AS text, cut > 0 AS text_truncated FROM c""")
+def trimmed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.length("text") + 20).alias("size"))
+    return claims.trimmed(rows, ["conv_id"], "text", "turn", "size", 700).drop("size")
+
+
+@query("""
+WITH m AS (SELECT lang, count(*) FILTER (n_chars >= 500) AS material_count, count(*) FILTER (n_chars >= 500 AND doc_id % 9 <> 0 AND (quality = 1 OR toxic = 1)) AS related_evidence_count,
+    count(*) FILTER (n_chars >= 500 AND doc_id % 9 <> 0 AND toxic = 1) AS verified_evidence_count, count(*) FILTER (n_chars < 500) AS historical_evidence_count
+  FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang),
+a AS (SELECT lang, count(DISTINCT (source, doc_id % 50)) AS request_count, count(DISTINCT CASE WHEN n_chars > 20000 THEN (source, doc_id % 50) END) AS failed_request_count
+  FROM documents WHERE n_chars % 4 > 0 GROUP BY lang)
+SELECT lang, coalesce(material_count, 0) AS material_count, coalesce(related_evidence_count, 0) AS related_evidence_count, coalesce(verified_evidence_count, 0) AS verified_evidence_count,
+  coalesce(historical_evidence_count, 0) AS historical_evidence_count, coalesce(request_count, 0) AS request_count, coalesce(failed_request_count, 0) AS failed_request_count,
+  CASE WHEN failed_request_count > 0 AND material_count > 0 THEN 'partial' WHEN verified_evidence_count > 0 THEN 'reviewed_evidence' WHEN related_evidence_count > 0 THEN 'related_material'
+    WHEN material_count > 0 THEN 'needs_relevance_review' WHEN failed_request_count > 0 THEN 'collection_failed' WHEN request_count > 0 THEN 'no_results' WHEN scheduled THEN 'not_collected' ELSE 'not_scheduled' END AS status
+FROM (SELECT DISTINCT lang, true AS scheduled FROM documents UNION ALL VALUES ('xx', true), ('yy', false)) t LEFT JOIN m USING (lang) LEFT JOIN a USING (lang) WHERE lang IS NOT NULL""")
+def verified_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    topics = docs.where("lang is not null").select("lang").distinct().withColumn("scheduled", F.lit(True)).union(spark.createDataFrame([("xx", True), ("yy", False)], "lang string, scheduled boolean"))
+    material = docs.select(
+        "lang", F.col("doc_id").alias("object_key"), "source", (F.col("n_chars") >= 500).alias("fresh"), F.when(F.col("quality") == 1, "relevant").alias("relevance_status"), (F.col("toxic") == 1).alias("verified"), (F.col("doc_id") % 9 == 0).alias("is_demo")
+    )
+    status = F.when(F.col("n_chars") % 4 == 0, "skipped").when(F.col("n_chars") > 20000, "timeout").otherwise("ok")
+    attempts = docs.select("lang", "source", (F.col("doc_id") % 50).alias("request_id"), status.alias("status"))
+    return coverage.verified_coverage(topics, material, attempts, "lang").drop("scheduled")
+
+
+@query("""
+SELECT c_mktsegment AS target_user, o_orderpriority AS task, o_orderstatus AS need, c_nationkey::VARCHAR AS product, count(DISTINCT o_orderkey) AS observations
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3, 4""")
+def product_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("product"))
+    rows = table(spark, sf_dir, "orders").join(people, "o_custkey").select(
+        F.col("c_mktsegment").alias("target_user"), F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("need"), "product", F.array(F.col("o_custkey").cast("string")).alias("constraints"),
+        F.array(F.struct(F.col("o_orderkey").cast("string").alias("evidence_id"))).alias("evidence_refs"),
+    )
+    found = needs.identified(rows, "product").groupBy("cluster_id").agg(F.min(F.struct("target_user", "task", "need", "product")).alias("about"), F.count_distinct("observation_id").alias("observations"))
+    return found.select("about.*", "observations")
+
+
 @query("""
 SELECT doc_id, list_filter([CASE WHEN n_chars > 1000 OR text IS NULL OR trim(text) = '' THEN 'text' END, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de') THEN 'lang' END], lambda x: x IS NOT NULL)::VARCHAR = '[]' AS strict
 FROM documents""")

@@ -19,8 +19,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without lines that are frequent on their source."""
-    return quality.filtered(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents that pass the rules, without lines in over ten distinct texts of their source.
+
+    The limit is a count alone, so that it doesn't grow with the source.
+    """
+    return quality.filtered(docs, share=0.0).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,7 @@ def frequent_lines(rows: DataFrame, least: int, share: float) -> DataFrame:
     """(host, line) of lines in over ``least`` documents and over ``share`` of a host's.
 
     Documents with the same text count once, so copies don't make a clean text's lines frequent.
+    A ``share`` of 0 leaves the count alone, which doesn't grow with the host.
     """
     own = rows.select("host", "content", F.explode("lines.line").alias("line"))
     per_line = own.distinct().groupBy("host", "line").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import base64
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +16,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestone.llm.common import materialise
 
@@ -30,6 +31,31 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def ids_of(path: str, pattern: str, whole: str | None = None) -> Callable[[str], np.ndarray]:
+    """Ids of a text, as the unmodified tokenizer of the file ``whole`` gives them; once per Python worker.
+
+    The ranks give the same ids faster, but know no added tokens, and their pattern fails on
+    about a million white-space characters in a row: such texts go to the tokenizer itself.
+    Without ``whole``, added tokens are spelt as any text, and such runs raise.
+    """
+    encode = encoder(path, pattern).encode_to_numpy
+    if whole is None:
+        return lambda text: encode(text, disallowed_special=())
+    tokenizer = Tokenizer.from_file(whole)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def ids(text: str) -> np.ndarray:
+        if not any(t in text for t in added):
+            try:
+                return encode(text, disallowed_special=())
+            except ValueError:  # the pattern's stack is too small for the text
+                pass
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return ids
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; of several, only the first may be short."""
     first = n % capacity or min(n, capacity)
@@ -148,18 +174,18 @@ def _slots(bins: Bins) -> dict[str, np.ndarray]:
 
 
 def tokenised_pieces(
-    docs: DataFrame, tokenizer: str, pattern: str, id_col: str, text: str, capacity: int, end_id: int, with_ids: bool
+    docs: DataFrame, tokenizer: str, pattern: str, id_col: str, text: str, capacity: int, end_id: int, with_ids: bool, whole: str | None
 ) -> DataFrame:
     """One row per piece, with its rank among the task's pieces of the same length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern).encode_to_numpy
+        encode = ids_of(tokenizer, pattern, whole)
         seen = [0] * (capacity + 1)
         part = TaskContext.get().partitionId()
         for batch in batches:
             rows, ids_out = [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(value.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(value.as_py() or ""), end_id).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     piece = ids[start : start + n]
                     rows.append((part, key, k, start, n, zlib.crc32(piece.tobytes()), seen[n]))
@@ -188,12 +214,13 @@ def pack(
     capacity: int = 1024,
     end_id: int = 2,
     with_ids: bool = False,
+    whole: str | None = None,
 ) -> DataFrame:
     """Packs all documents into few sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the
-    token ids where ``with_ids``. A document's ids are those of the text (null: none) and
-    ``end_id``; only longer ones than a sequence are cut.
+    token ids where ``with_ids``. A document's ids are those of the text (null: none; by
+    ``tokenizer``, a file of ranks, or ``whole``, as ``ids_of`` says) and ``end_id``; only longer ones than a sequence are cut.
 
     Executors tokenise and count. The plan needs no more than the histogram of lengths, at most
     ``capacity`` numbers whatever the size of the corpus, so it is made for the whole corpus at
@@ -203,7 +230,7 @@ def pack(
     """
     spark = docs.sparkSession
     pieces = materialise(
-        tokenised_pieces(docs, tokenizer, pattern, id_col, text, capacity, end_id, with_ids), "pieces"
+        tokenised_pieces(docs, tokenizer, pattern, id_col, text, capacity, end_id, with_ids, whole), "pieces"
     )
     counts = materialise(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -76,7 +76,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json
-    return packing.pack(docs, ranks, public_tokenizers.PATTERN)
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, whole=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

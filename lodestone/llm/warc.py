@@ -19,7 +19,7 @@ from lodestone.llm.files import create, store
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
-#: Most bytes of a record's header.
+#: Bytes of a member that are decoded at once to find its header's end.
 HEADER = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -112,12 +112,23 @@ class _Span:
 
 def _is_record(span: _Span, offset: int) -> bool:
     """Whether a gzip member that starts here decodes to the header of a WARC record."""
-    try:
-        head = zlib.decompressobj(31).decompress(span.at(offset, HEADER), HEADER)
-    except zlib.error:
-        return False
-    head, end, _ = head.partition(b"\r\n\r\n")
-    return head.startswith(b"WARC/1.") and bool(end) and b"\r\nWARC-Type:" in head
+    unpack, head, end = zlib.decompressobj(31), bytearray(), -1
+    data = span.at(offset, HEADER)
+    offset += len(data)
+    while end < 0 and data and not unpack.eof:
+        seen = len(head)
+        try:
+            head += unpack.decompress(data, HEADER)
+        except zlib.error:
+            return False
+        if not b"WARC/1.".startswith(head[:7]):
+            return False
+        end = head.find(b"\r\n\r\n", max(0, seen - 3))
+        data = unpack.unconsumed_tail
+        if not data and end < 0:
+            data = span.at(offset)
+            offset += len(data)
+    return end >= 0 and b"\r\nWARC-Type:" in head[: end + 2]
 
 
 def _member(span: _Span, offset: int) -> tuple[bytes, int]:
@@ -219,15 +230,27 @@ def read_warc(spark: SparkSession, archives: DataFrame, split: int = 16 << 20, w
     return spans.repartition(n, "path", "start").mapInArrow(run, kinds + ", payload binary" * with_payload)
 
 
+def all_read(found: DataFrame, archives: DataFrame) -> DataFrame:
+    """``found``, written; raises if an archive has another number of records than its manifest says."""
+    found = materialise(found, "records")
+    read = found.groupBy(F.col("path").alias("of")).agg(F.count("*").alias("n"))
+    wrong = archives.join(read, archives.path == read.of, "left").where(F.coalesce("n", F.lit(0)) != F.col("records")).select("path", "records", "n").take(1)
+    if wrong:
+        raise ValueError(f"{wrong[0].path} has {wrong[0].records} records, of which {wrong[0].n or 0} were read")
+    return found
+
+
 def round_trip(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads them back.
 
     Per page: key, payload_bytes, payload_digest, record_type, refers_to. Null payloads are
     empty; pages with equal payloads as ``with_record_type`` says; no pages give no rows.
+    Raises unless as many records are read as were written.
     """
     spark = pages.sparkSession
     kind = pages.schema[key].dataType
-    found = read_warc(spark, write_warc(pages, new_path(spark, "warc"), key, uri, payload, least))
+    archives = write_warc(pages, new_path(spark, "warc"), key, uri, payload, least)
+    found = all_read(read_warc(spark, archives), archives)
     return found.select(
         F.col("record_id").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )

@@ -13,23 +13,41 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialise
 
-#: Notices by SPDX identifier (fixed values): the sentences by which files name their licence.
-TEMPLATES = {
+#: Notices by SPDX identifier (fixed values): the sentences by which files name their licence, and the openings
+#: and main sentences of headers and licence files.
+TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License);",
+        "Apache License Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "The ASF licenses this file to You under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+    ),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License",
+        "Released under the BSD 2-Clause License.",
+        "The 2-Clause BSD License, the Simplified BSD License",
     ),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "BSD 3-Clause License",
+        "The 3-Clause BSD License, the New BSD License",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Creative Commons Attribution 4.0 International Public License",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License",
     ),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "GPL-3.0": (
@@ -41,15 +59,68 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
+        "MIT License",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: The GNU licences: SPDX name, what it is called, short name, version and date. Every version has the same
+#: notices, so that the version decides between them.
+GNU = (
+    ("AGPL-3.0", "Affero General", "AGPL", "3", "19 November 2007"),
+    ("GPL-2.0", "General", "GPL", "2", "June 1991"),
+    ("GPL-3.0", "General", "GPL", "3", "29 June 2007"),
+    ("LGPL-2.0", "Library General", "LGPL", "2", "June 1991"),
+    ("LGPL-2.1", "Lesser General", "LGPL", "2.1", "February 1999"),
+    ("LGPL-3.0", "Lesser General", "LGPL", "3", "29 June 2007"),
+)
+for _spdx, _called, _short, _v, _date in GNU:
+    _granted = f"it under the terms of the GNU {_called} Public License as published by the Free Software Foundation, either version {_v} of the License"
+    TEMPLATES[_spdx] = tuple(dict.fromkeys((
+        *TEMPLATES.get(_spdx, ()),
+        f"GNU {_called} Public License Version {_v}, {_date}",
+        f"This work is licensed under the GNU {_called} Public License, version {_v}.",
+        f"Licensed under the GNU {_short} v{_v}.",
+        f"You can redistribute it and/or modify {_granted}.",
+        *(f"This {x} is free software: you can redistribute it and/or modify {_granted}, or (at your option) any later version." for x in ("program", "library")),
+        f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {_called} Public License version {_v} as published by the Free Software Foundation.",
+    )))
 #: What a sentence must hold to be compared at all (fixed values).
 CUES = ("licen", "redistribution", "permission is hereby granted", "public domain")
 #: File names that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-._].*)?$"
 SENTENCE_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(])|\n+")
+#: In a paragraph whose lines are joined, lists also end a sentence.
+JOINED_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(])|(?<=:)\s+|\s+(?=\d+[.)]\s+[A-Z])")
+#: What begins a line of a comment, or ends one.
+COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+|;+|--+|<!--|%+|dnl\b|\.\.(?=\s))?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$")
+#: The clauses that the BSD licences share, and what only that of three clauses has.
+BSD_BINARY, BSD_THIRD = "in binary form must reproduce the above copyright", re.compile(r"neither the names?\b|endorse or promote|\b3-clause\b")
+
+
+def sentences(text: str) -> Iterator[str]:
+    """The sentences of each line, and those of each paragraph with its wrapped lines joined, without comment marks."""
+    yield from SENTENCE_END.split(text)
+    block: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        bare = COMMENT.sub("", line)
+        if bare:
+            block.append(bare)
+            continue
+        if len(block) > 1 or (block and ":" in block[0]):
+            joined = " ".join(block)
+            if any(c in joined.lower() for c in CUES):
+                yield from JOINED_END.split(joined)
+        block = []
 
 
 def terms(sentence: str) -> Counter:
@@ -80,18 +151,23 @@ class Matcher:
         """The licence of the best sentence of a whole text, and its cosine."""
         low, found = (text or "").lower(), (0.0, "")
         if any(c in low for c in CUES):
-            for sentence in SENTENCE_END.split(text):
+            for sentence in dict.fromkeys(sentences(text)):
                 if any(c in sentence.lower() for c in CUES):
                     score, name = self.best(sentence)
                     if score > found[0]:
                         found = (score, name)
+        if found[1] == "BSD-3-Clause":
+            flat = " ".join(COMMENT.sub("", x) for x in low.split("\n"))
+            if BSD_BINARY in flat and not BSD_THIRD.search(flat):
+                found = (found[0], "BSD-2-Clause")
         return (found[1], round(found[0], 6)) if found[0] >= threshold else (None, 0.0)
 
 
 def with_license(files: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``files`` with ``license`` (null: none reaches the threshold) and ``score``.
 
-    Every sentence of the whole text that has a cue is compared with every notice.
+    Every sentence of the whole text that has a cue is compared with every notice, within its
+    line and with the wrapped lines of its paragraph joined.
     """
     kept = [c for c in files.columns if c not in ("license", "score")]
     at = kept.index(text)

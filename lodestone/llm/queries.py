@@ -54,11 +54,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four arrivals by ranges of doc_id, compacted; every document with the shard that holds it."""
+    """Four arrivals by ranges of doc_id, compacted; every document with the shard that holds it.
+
+    A shard is named by the version that wrote it and the task, so that reruns agree.
+    """
     docs = table(spark, sf_dir, "documents")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     bounds = [low + (high - low + 1) * k // 4 for k in range(1, 4)] if low is not None else []
-    key, store = F.col("doc_id"), sharding.ShardStore(spark, new_path(spark, "shards"))
+    key, store = F.col("doc_id"), sharding.ShardStore(spark, new_path(spark, "shards"), target=32 << 20)
     for k in range(len(bounds) + 1):
         after = key >= bounds[k - 1] if k else F.lit(True)
         before = key < bounds[k] if k < len(bounds) else F.lit(True)
@@ -66,10 +69,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(docs.where(late))
     store.compact()
     store.vacuum()
-    rows, shards = store.read(), store.manifest()
+    nth = F.regexp_extract("shard", r"part-(\d+)", 1)
+    shards = store.manifest().withColumn("name", F.concat(F.lit("v"), "added", F.lit("/"), nth))
+    rows = store.read()
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return rows.join(shards, rows._shard == shards.shard).select(
-        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"), "shard", "tier", F.col("added").alias("version")
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"), F.col("name").alias("shard"), "tier", F.col("added").alias("version")
     )
 
 

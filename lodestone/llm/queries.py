@@ -56,7 +56,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals by ranges of doc_id, compacted; every document with the shard that holds it.
 
-    A shard is named by the version that wrote it and the task, so that reruns agree.
+    A shard is named by the version, the job and the task that wrote it, so that reruns agree.
     """
     docs = table(spark, sf_dir, "documents")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -69,7 +69,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.append(docs.where(late))
     store.compact()
     store.vacuum()
-    nth = F.regexp_extract("shard", r"part-(\d+)", 1)
+    nth = F.regexp_replace("shard", r".*-(\d+)/part-(\d+).*", "$1-$2")
     shards = store.manifest().withColumn("name", F.concat(F.lit("v"), "added", F.lit("/"), nth))
     rows = store.read()
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

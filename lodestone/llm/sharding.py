@@ -7,11 +7,11 @@ import math
 import time
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -40,6 +40,11 @@ def runs(shards: list[tuple[str, int]], target: int) -> list[list[str]]:
     return out
 
 
+def stored_at() -> Column:
+    """Where a row of a shard is stored, below the store's base."""
+    return F.array_join(F.slice(F.split("_metadata.file_path", "/"), -3, 3), "/")
+
+
 class ShardStore:
     """Immutable Parquet shards below ``base``, listed by the newest manifest.
 
@@ -99,20 +104,25 @@ class ShardStore:
 
     @contextmanager
     def _registered(self) -> Iterator[str]:
-        """A folder for data, registered as being written until its manifest is committed or given up."""
+        """A name for folders of data, registered as being written until its manifest is committed or given up."""
         name, files = uuid.uuid4().hex, self._files()
         files.create(self._path("writing", name)).close()
         try:
-            yield f"data/{name}"
+            yield name
         finally:
             files.delete(self._path("writing", name), False)
 
-    def _written(self, rows: DataFrame, folder: str, added: int) -> DataFrame:
-        """Writes shards and describes those that hold rows."""
-        rows.write.option("compression", "zstd").parquet(f"{self.base}/{folder}")
-        kept = self.spark.read.schema(rows.schema).parquet(f"{self.base}/{folder}")
-        name = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("_metadata.file_path", "/"), -1))
-        return kept.groupBy(name.alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).select(
+    def _written(self, parts: list[DataFrame], name: str, added: int) -> DataFrame:
+        """Writes each part to a folder of its own, and describes the shards that hold rows.
+
+        Parts are jobs that run at once: a union would put parts of one partition into one task.
+        """
+        folders = [f"{self.base}/data/{name}-{k}" for k in range(len(parts))]
+        write = lambda part, folder: part.write.option("compression", "zstd").parquet(folder)
+        with ThreadPoolExecutor(max(1, min(len(parts), self.spark.sparkContext.defaultParallelism))) as pool:
+            list(pool.map(write, parts, folders))
+        kept = self.spark.read.schema(parts[0].schema).parquet(*folders)
+        return kept.groupBy(stored_at().alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows")).select(
             "shard", "bytes", "rows", self._tier(F.col("bytes")).alias("tier"), F.lit(added).cast("long").alias("added")
         )
 
@@ -145,8 +155,8 @@ class ShardStore:
         """
         version = self.version()
         schema = merged_schema(self.schema(version), rows.schema)
-        with self._registered() as folder:
-            shards = self._written(rows, folder, version + 1)
+        with self._registered() as name:
+            shards = self._written([rows], name, version + 1)
             shards = self.spark.createDataFrame(shards.collect(), shards.schema)  # the list of one append's shards
             while True:
                 try:
@@ -161,7 +171,7 @@ class ShardStore:
         """Merges tiers until none has ``fanout`` shards below half the target size.
 
         A merge cuts the tier's shards, in order of arrival, into runs of about ``target``
-        bytes; a task writes a run as one file, without a shuffle.
+        bytes; each is a job of one task that writes one file, without a shuffle.
         """
         while True:
             version = self.version()
@@ -175,8 +185,8 @@ class ShardStore:
             files = runs([(s.shard, s.bytes) for s in sorted(tier[0]["shards"])], self.target)
             parts = [self.spark.read.schema(schema).parquet(*(f"{self.base}/{s}" for s in run)).coalesce(1) for run in files]
             rest = live.where((F.col("bytes") >= self.target // 2) | (F.col("tier") != tier[0]["tier"]))
-            with self._registered() as folder:
-                merged = self._written(reduce(DataFrame.union, parts), folder, version + 1)
+            with self._registered() as name:
+                merged = self._written(parts, name, version + 1)
                 self.commit(rest.unionByName(merged), version + 1, schema)
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -193,7 +203,7 @@ class ShardStore:
         if not shards:
             return self.spark.createDataFrame([], schema).withColumn("_shard", F.lit(None).cast("string"))
         rows = self.spark.read.schema(schema).parquet(*(f"{self.base}/{s}" for s in shards))
-        return rows.withColumn("_shard", F.array_join(F.slice(F.split("_metadata.file_path", "/"), -3, 3), "/"))
+        return rows.withColumn("_shard", stored_at())
 
     def vacuum(self, abandoned: float = 7 * 86400.0) -> int:
         """Deletes shards that the newest version doesn't list; returns how many.
@@ -205,11 +215,11 @@ class ShardStore:
         # Files first, then registrations, then the manifest: what is seen and no longer registered is committed or given up.
         seen = [(f"data/{folder.getPath().getName()}", file) for folder in self._listed("data") for file in self._listed("data", folder.getPath().getName())]
         oldest = (time.time() - abandoned) * 1000
-        writing = {f"data/{s.getPath().getName()}" for s in self._listed("writing") if s.getModificationTime() >= oldest}
+        writing = {s.getPath().getName() for s in self._listed("writing") if s.getModificationTime() >= oldest}
         live = {r.shard for r in self.manifest().select("shard").collect()}
         files, gone = self._files(), 0
         for folder, file in seen:
             name = file.getPath().getName()
-            if folder not in writing and name.endswith(".parquet") and f"{folder}/{name}" not in live:
+            if folder.removeprefix("data/").rpartition("-")[0] not in writing and name.endswith(".parquet") and f"{folder}/{name}" not in live:
                 gone += files.delete(file.getPath(), False)
         return gone

@@ -66,8 +66,8 @@ def test_vacuum_leaves_what_a_running_append_has_written(spark, tmp_path):
     assert store.append(spark.range(100, 104)) == 3
     assert sorted(r.id for r in other.read().collect()) == [0, 1, 2, 10, 11, 100, 101, 102, 103]
     # The registration of a lost driver holds for a time, then no more.
-    os.makedirs(tmp_path / "data" / "lost")
-    (tmp_path / "data" / "lost" / "part-0.parquet").write_bytes(b"x")
+    os.makedirs(tmp_path / "data" / "lost-0")
+    (tmp_path / "data" / "lost-0" / "part-0.parquet").write_bytes(b"x")
     (tmp_path / "writing" / "lost").write_bytes(b"")
     assert other.vacuum() == 0 and other.vacuum(abandoned=-5) == 1
 
@@ -99,12 +99,13 @@ def replayed(store, last):
 
 
 def test_tiers_and_commits_follow_a_plain_model(spark, tmp_path):
-    store = ShardStore(spark, f"file://{tmp_path}", target=60_000, fanout=2, smallest=4_000)
-    docs = table(spark, rows(n=200))
-    for k in range(8):
-        store.append(docs.where(F.pmod(F.xxhash64("text"), F.lit(8)) == k).coalesce(1 + k % 2))
+    store = ShardStore(spark, f"file://{tmp_path}", target=60_000, fanout=2, smallest=3_000)
+    docs = table(spark, rows(n=200)).withColumn("slot", F.pmod(F.xxhash64("text", "doc_id"), F.lit(64)))
+    bounds = [0, 1, 2, 3, 4, 8, 12, 20, 30, 46, 64]  # arrivals of many sizes
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        store.append(docs.where((F.col("slot") >= low) & (F.col("slot") < high)).coalesce(1))
     last = store.compact()
-    assert last > 9 and store.manifest().count() > 1  # merges of several tiers, and several files
+    assert last > 11 and store.manifest().count() > 1  # merges of several tiers, and several files
     replayed(store, last)
     assert store.read().count() == docs.count()
     assert store.manifest().agg(F.sum("rows")).first()[0] == docs.count()

@@ -102,18 +102,31 @@ class _Span:
     def __init__(self, file, size: int):
         self.file, self.size, self.start, self.data = file, size, 0, b""
 
-    def at(self, offset: int, least: int = 1) -> bytes:
-        """Bytes from ``offset`` on: at least so many, unless the file ends."""
+    def _hold(self, offset: int, least: int) -> None:
         if not self.start <= offset or self.start + len(self.data) < min(offset + least, self.size):
             self.data = self.file.read_at(max(BLOCK, least), offset) if offset < self.size else b""
             self.start = offset
-        return self.data[offset - self.start :]
+
+    def at(self, offset: int, least: int = 1) -> memoryview:
+        """Bytes from ``offset`` on, not copied: at least so many, unless the file ends."""
+        self._hold(offset, least)
+        return memoryview(self.data)[offset - self.start :]
+
+    def magic(self, offset: int, end: int) -> int:
+        """The first place in [offset, end) where gzip magic begins, or ``end``."""
+        while offset < end:
+            self._hold(offset, len(MAGIC))
+            hit = self.data.find(MAGIC, offset - self.start)
+            if hit >= 0:
+                return min(self.start + hit, end)
+            offset = max(offset + 1, self.start + len(self.data) - len(MAGIC) + 1)
+        return end
 
 
 def _is_record(span: _Span, offset: int) -> bool:
     """Whether a gzip member that starts here decodes to the header of a WARC record."""
     unpack, head, end = zlib.decompressobj(31), bytearray(), -1
-    data = span.at(offset, HEADER)
+    data = span.at(offset, HEADER)[:HEADER]
     offset += len(data)
     while end < 0 and data and not unpack.eof:
         seen = len(head)
@@ -126,42 +139,63 @@ def _is_record(span: _Span, offset: int) -> bool:
         end = head.find(b"\r\n\r\n", max(0, seen - 3))
         data = unpack.unconsumed_tail
         if not data and end < 0:
-            data = span.at(offset)
+            data = span.at(offset)[:HEADER]
             offset += len(data)
     return end >= 0 and b"\r\nWARC-Type:" in head[: end + 2]
 
 
-def _member(span: _Span, offset: int) -> tuple[bytes, int]:
-    """The content of the member that starts at ``offset``, and where it ends."""
-    unpack, parts = zlib.decompressobj(31), []
+def _parts(span: _Span, offset: int) -> Iterator[tuple[bytes, int]]:
+    """The content of the member that starts at ``offset`` by blocks, each with how far was read; the last with the member's end."""
+    unpack = zlib.decompressobj(31)
     while not unpack.eof:
-        data = span.at(offset)
-        if not data:
+        data = span.at(offset)[:HEADER]  # zlib copies what it leaves over
+        offset += len(data)
+        ended = not data
+        while not unpack.eof:
+            out = unpack.decompress(data, BLOCK)  # all input may be in, and output still to come
+            data = unpack.unconsumed_tail
+            if not out and not data:
+                break
+            yield out, offset - len(data)
+        if ended and not unpack.eof:
             raise EOFError("a WARC record isn't whole")
-        parts.append(unpack.decompress(data))
-        offset += len(data) - len(unpack.unused_data)
-    return b"".join(parts), offset
+    yield b"", offset - len(unpack.unused_data)
+
+
+def _member(span: _Span, offset: int) -> tuple[bytes, int]:
+    """The content of the member that starts at ``offset``, and where it ends."""
+    parts = list(_parts(span, offset))
+    return b"".join(x for x, _ in parts), parts[-1][1]
+
+
+def candidates(file, size: int, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(offset, end) of every member in [start, end) that reads as a record, also of those within another's payload."""
+    span, offset = _Span(file, size), start
+    while (offset := span.magic(offset, end)) < end:
+        if _is_record(span, offset):
+            try:
+                for _, after in _parts(span, offset):
+                    pass
+                yield offset, after
+            except (EOFError, zlib.error):
+                pass  # no whole member: a header within a payload, or a broken archive, which ``entries`` tells
+        offset += 1
 
 
-def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def members(file, size: int, start: int, end: int, sure: bool = False) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of the records that start in [start, end), wherever they end.
 
-    Within a file, the first record found must be followed by another or by the end, lest an
-    archived archive's record is taken for one.
+    ``sure``: a record starts at ``start``, as ``entries`` finds it. Without that, a range that
+    is looked at alone takes for its first record what is followed by another or by the end.
     """
-    span, offset, sure = _Span(file, size), start, not start
+    span, offset, sure = _Span(file, size), start, sure or not start
     while offset < end:
-        data = span.at(offset, len(MAGIC))
-        hit = data.find(MAGIC)
-        if hit < 0:
-            offset += max(1, len(data) - len(MAGIC) + 1)
-            continue
-        offset += hit
+        offset = span.magic(offset, end)
         if offset >= end:
             return
         if _is_record(span, offset):
             content, after = _member(span, offset)
-            if sure or after == size or span.at(after, len(MAGIC)).startswith(MAGIC):
+            if sure or after == size or bytes(span.at(after, len(MAGIC))[: len(MAGIC)]) == MAGIC:
                 yield offset, content
                 offset, sure = after, True
             else:
@@ -193,24 +227,76 @@ def parsed(content: bytes) -> dict:
     }
 
 
-def read_warc(spark: SparkSession, archives: DataFrame, split: int = 16 << 20, with_payload: bool = False) -> DataFrame:
-    """The records of ``archives(path, size)``: path, offset and the fields of ``parsed``.
+def entries(spark: SparkSession, archives: DataFrame, split: int = 16 << 20) -> DataFrame:
+    """(path, size, start, entry): where the first record that starts in each byte range is, for ranges that have one.
 
-    A task scans byte ranges for gzip magic, takes what decodes to a WARC header for a record,
-    and owns the records that start in its range, so archives of any size are read in parallel.
-    An archive that breaks off within a record, or a wrong digest, raises.
+    Every range reports its candidates and their ends. A record is what is reached from the
+    archive's beginning, each starting where the one before ends; members in an archived archive
+    aren't reached. Within a range candidates are followed in order; from range to range, a join
+    of ends to starts is doubled until no range is added, so an archive of n ranges takes log2(n)
+    joins of a few numbers a range. Raises where a chain doesn't end at the archive's end.
     """
     spans = archives.where("size > 0").select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, path = store(r["path"])
+                end = min(r["start"] + split, r["size"])
+                with system.open_input_file(path) as file:
+                    found = dict(candidates(file, r["size"], r["start"], end))
+                leaves = {}  # where the chain from a candidate leaves the range
+                for offset in sorted(found, reverse=True):
+                    leaves[offset] = leaves.get(found[offset], found[offset])
+                yield pa.RecordBatch.from_pylist([{**r, "entry": at, "leaves": leaves[at]} for at in sorted(found)], schema)
+
+    s, i = pa.string(), pa.int64()
+    schema = pa.schema([("path", s), ("size", i), ("start", i), ("entry", i), ("leaves", i)])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "path string, size long, start long, entry long, leaves long"
+    found = materialise(spans.repartition(n, "path", "start").mapInArrow(run, kinds), "candidates")
+    archives = archives.where("size > 0").select(F.col("path").alias("p"), F.col("size").alias("end"))
+    single = found.where("entry = 0 and leaves = size")
+    if archives.join(single, F.col("path") == F.col("p"), "left_anti").isEmpty():  # every archive is one range
+        return single.select("path", "size", "start", "entry")
+    # What can be the first record of a range: the archive's beginning, and where some chain goes on after leaving its range.
+    ends = found.select(F.col("path").alias("p"), F.col("leaves").alias("e")).distinct()
+    nodes = found.join(ends, (F.col("path") == F.col("p")) & (F.col("entry") == F.col("e")), "left").where("entry = 0 or e is not null")
+    nodes = materialise(nodes.select("path", "size", "start", "entry", "leaves"), "nodes")
+    jump = nodes.select(F.col("path").alias("p"), F.col("entry").alias("from"), F.col("leaves").alias("to"))
+    reached, known = nodes.where("entry = 0").select("path", "entry"), 0
+    while (count := reached.count()) > known:
+        known = count
+        on = (F.col("path") == F.col("p")) & (F.col("entry") == F.col("from"))
+        reached = materialise(reached.union(reached.join(jump, on).select("path", "to")).distinct(), "reached")
+        later = jump.select(F.col("p").alias("q"), F.col("from").alias("mid"), F.col("to").alias("far"))
+        on = (F.col("p") == F.col("q")) & (F.col("to") == F.col("mid"))
+        jump = materialise(jump.join(later, on, "left").select("p", "from", F.coalesce("far", "to").alias("to")), "jumps")
+    broken = archives.join(reached, (F.col("path") == F.col("p")) & (F.col("entry") == F.col("end")), "left_anti").take(1)
+    if broken:
+        raise EOFError(f"{broken[0].p} doesn't consist of whole WARC records")
+    return nodes.join(reached, ["path", "entry"]).select("path", "size", "start", "entry")
+
+
+def read_warc(spark: SparkSession, archives: DataFrame, split: int = 16 << 20, with_payload: bool = False) -> DataFrame:
+    """The records of ``archives(path, size)``: path, offset and the fields of ``parsed``.
+
+    A task scans byte ranges for gzip magic, takes what decodes to a WARC header for a candidate,
+    and owns the records that start in its range, as ``entries`` finds them, so archives of any
+    size are read in parallel and the same at every split. An archive that breaks off within a
+    record, or a wrong digest, raises.
+    """
+    spans = entries(spark, archives, split)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 system, path = store(r["path"])
                 rows, held = [], 0
                 with system.open_input_file(path) as file:
-                    for offset, content in members(file, r["size"], r["start"], min(r["start"] + split, r["size"])):
+                    for offset, content in members(file, r["size"], r["entry"], min(r["start"] + split, r["size"]), sure=True):
                         found = {"path": r["path"], "offset": offset, **parsed(content)}
                         if not with_payload:
                             del found["payload"]

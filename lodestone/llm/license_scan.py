@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,15 +40,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
-    "CC-BY-4.0": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Creative Commons Attribution 4.0 International Public License",
+    "CC0-1.0": (
+        "CC0 1.0 Universal",
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, which is dedicated to the public domain under CC0 1.0.",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "EPL-2.0": (
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License 2.0.",
+    ),
+    "ISC": (
+        "ISC License",
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
     "GPL-3.0": (
@@ -94,8 +100,20 @@ for _spdx, _called, _short, _v, _date in GNU:
         *(f"This {x} is free software: you can redistribute it and/or modify {_granted}, or (at your option) any later version." for x in ("program", "library")),
         f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {_called} Public License version {_v} as published by the Free Software Foundation.",
     )))
+#: The Creative Commons licences: what is added to BY, what that is called, and the versions.
+COMMONS = (("", ""), ("-NC", "-NonCommercial"), ("-NC-ND", "-NonCommercial-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-ND", "-NoDerivatives"), ("-SA", "-ShareAlike"))
+for (_short, _called), (_v, _where) in product(COMMONS, (("3.0", "Unported"), ("4.0", "International"))):
+    TEMPLATES[f"CC-BY{_short}-{_v}"] = (
+        f"Licensed under CC BY{_short} {_v}.",
+        f"This work is licensed under a Creative Commons Attribution{_called} {_v} {_where} License.",
+        f"Creative Commons Attribution{_called} {_v} {_where} Public License",
+    )
+#: Tags name a licence by its identifier, of the GNU licences also by what it grants.
+for _spdx in sorted(TEMPLATES):
+    _names = [_spdx, *(f"{_spdx}-{x}" for x in ("only", "or-later") if "GPL" in _spdx)]
+    TEMPLATES[_spdx] += tuple(f"SPDX-License-Identifier: {x}" for x in _names)
 #: What a sentence must hold to be compared at all (fixed values).
-CUES = ("licen", "redistribution", "permission is hereby granted", "public domain")
+CUES = ("licen", "redistribution", "permission is hereby granted", "permission to use, copy", "public domain", "cc0")
 #: File names that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-._].*)?$"
 SENTENCE_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(])|\n+")
@@ -127,6 +145,11 @@ def terms(sentence: str) -> Counter:
     return Counter(re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", sentence.lower()))
 
 
+def versions(counts: Counter) -> set[str]:
+    """The terms that read as the number of a version; years don't."""
+    return {t.removeprefix("v") for t in counts if re.fullmatch(r"v?\d{1,2}(\.\d+)*", t)}
+
+
 class Matcher:
     """Sparse TF-IDF vectors of the templates; unknown terms weigh as terms of no template."""
 
@@ -136,6 +159,11 @@ class Matcher:
         self.most = math.log(1 + len(counts)) + 1
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
         self.vectors = [(name, self.vector(c)) for name, c in counts]
+        self.versions = [versions(c) for _, c in counts]
+        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for k, (_, vector) in enumerate(self.vectors):
+            for t, v in vector.items():
+                self.postings[t].append((k, v))
 
     def vector(self, counts: Counter) -> dict[str, float]:
         x = {t: n * self.idf.get(t, self.most) for t, n in counts.items()}
@@ -143,9 +171,14 @@ class Matcher:
         return {t: v / norm for t, v in x.items()}
 
     def best(self, sentence: str) -> tuple[float, str]:
-        x = self.vector(terms(sentence))
-        scored = ((sum(x[t] * v for t, v in y.items() if t in x), name) for name, y in self.vectors)
-        return max(scored, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]))
+        """The highest cosine and its licence; templates of another version than the sentence names don't count."""
+        counts = terms(sentence)
+        named, cosines = versions(counts), defaultdict(float)
+        for t, v in self.vector(counts).items():
+            for k, w in self.postings.get(t, ()):
+                cosines[k] += v * w
+        scored = ((x, self.vectors[k][0]) for k, x in cosines.items() if not (named and self.versions[k] and named.isdisjoint(self.versions[k])))
+        return max(scored, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]), default=(0.0, ""))
 
     def scan(self, text: str | None, threshold: float) -> tuple[str | None, float]:
         """The licence of the best sentence of a whole text, and its cosine."""
@@ -208,6 +241,7 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
         .groupBy(F.col("dir").alias("from"))
         .agg(F.min_by("license", F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))).alias("speaks"))
     )
+    speaking = materialise(speaking, "speaking")  # every directory meets the root's row: a hot key of a plain join
     parts = F.split("dir", "/")
     above = F.transform(
         F.sequence(F.lit(0), F.size(parts)),

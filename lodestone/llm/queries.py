@@ -33,12 +33,17 @@ def fold(key: str = "doc_id"):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree by source and language; one that opens with a notice is a licence file."""
-    opens = F.coalesce(F.col("text").rlike(r"(?i)^[^\n.]{0,40}licen[cs]e"), F.lit(False))
-    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"))
-    name = F.when(opens, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
-    return license_scan.scan(docs)
+    """Documents as files of a tree by source, language and hundreds of ids; ``documents`` has no paths.
+
+    Those that speak of a licence are the licence files of directories at all three depths (by
+    a hash of the id), so that files inherit from their own directory and from those above.
+    """
+    speaks = F.coalesce(F.col("text").rlike(r"(?i)licen[cs]e"), F.lit(False))
+    folders = F.array(F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 100).cast("string"))
+    depth = F.when(speaks, F.pmod(F.xxhash64("doc_id"), F.lit(3)) + 1).otherwise(3).cast("int")
+    name = F.when(speaks, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", F.slice(F.transform(folders, lambda x: F.coalesce(x, F.lit("none"))), 1, depth), name)
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def ngram_counts(text: str, orders: int, bits: int) -> tuple[np.ndarray, np.ndar
     keep[1:] |= gap[1:] & ~gap[:-1]
     keep[0] = True
     code = np.where(gap, np.uint32(32), code)[keep]
-    total = np.zeros(1 << bits, np.int64)
+    spots = []
     h = np.zeros(len(code), np.uint32)
     for n in range(orders):
         if n >= len(code):
@@ -36,9 +36,11 @@ def ngram_counts(text: str, orders: int, bits: int) -> tuple[np.ndarray, np.ndar
         grown = code[n:] * np.uint32(MIX[n % 3]) + np.uint32(n)
         h = (h[: len(grown)] ^ (h[: len(grown)] >> np.uint32(15))) * np.uint32(MIX[1]) + grown
         spot = (h ^ (h >> np.uint32(16))) * np.uint32(MIX[2]) >> np.uint32(32 - bits)
-        total += np.bincount(spot, minlength=1 << bits)
-    at = np.flatnonzero(total)
-    return at, total[at]
+        spots.append(spot.astype(np.uint16) if bits <= 16 else spot)
+    # Sorted rather than counted in an array of all features; 16 bits sort by radix.
+    spots = np.sort(np.concatenate(spots), kind="stable")
+    edges = np.flatnonzero(np.append(True, spots[1:] != spots[:-1]))
+    return spots[edges].astype(np.int64), np.diff(np.append(edges, len(spots)))
 
 
 def tfidf(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -108,18 +110,30 @@ def train_ftrl(
     return w[:-1], w[-1]
 
 
+#: Between these the temperature is searched.
+COLDEST, HOTTEST = 1e-3, 1e3
+
+
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search over its logarithm."""
+    """The temperature of least log loss, by golden-section search over its logarithm.
+
+    The n rows show no more certainty than n cases can: the target of a row's own class is
+    (n + 1) / (n + classes), as if every class had been seen once more, and not 1. So rows that are
+    all classified rightly have an optimum too, and don't drive the temperature to 0.
+    """
+    if not len(labels):
+        return 1.0
+    n, classes = logits.shape
+    target = np.full((n, classes), 1 / (n + classes))
+    target[np.arange(n), labels] = (n + 1) / (n + classes)
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         z = z - z.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]))
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - (target * z).sum(axis=1)))
 
-    if not len(labels):
-        return 1.0
-    low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
-    for _ in range(40):
+    low, high, ratio = np.log(COLDEST), np.log(HOTTEST), (np.sqrt(5) - 1) / 2
+    for _ in range(50):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
@@ -162,6 +176,7 @@ def fit(
     per_language: int = 400,
     orders: int = 3,
     bits: int = 15,
+    most_languages: int = 1000,
 ) -> Model | None:
     """Trains on ``labelled``; None where no row has a language and a letter.
 
@@ -169,13 +184,15 @@ def fit(
     language the ``per_language`` rows of least key hash, features and no texts, so the driver
     gets some 2 * languages * per_language rows of at most 2**bits features. Of rows that
     repeat a key one is in the sample. A fifth of the sample is held back to calibrate the
-    temperature.
+    temperature. More than ``most_languages`` languages raise: the model is shared as a whole.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text)))
     h = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 40))
-    per = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    per = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(most_languages + 1).collect()}
     if not per:
         return None
+    if len(per) > most_languages:
+        raise ValueError(f"over {most_languages} languages")
     languages = sorted(per)
     # Twice the wanted share, so that nearly always enough rows come; cut to size below.
     shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, (2 * per_language + 20) / per[k]))])

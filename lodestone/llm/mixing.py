@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialise, words
-from lodestone.operators.ranks import numbered
+from lodestone.operators.ranks import numbered, numbered_within
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: float = 3.0) -> DataFrame:
@@ -37,10 +37,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), limit: flo
     )
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on key and seed alone."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+def uniform(key: Column, seed: int, nth: Column | None = None) -> Column:
+    """A number in [0, 1) that depends on seed, key and (from the second row of a key on) ``nth`` alone."""
+    parts = [F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))]
+    if nth is not None:
+        parts.append(F.when(nth > 1, nth.cast("string")))  # concat_ws leaves nulls out
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+def _sized(docs: DataFrame, id_col: str, text: str, source: str) -> list[Column]:
+    return [
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"),
+        F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.monotonically_increasing_id().alias("row"),
+    ]
+
+
+def _repeats(sized: DataFrame) -> DataFrame:
+    """``again``: the ids, null among them, of more than one row."""
+    many = sized.groupBy("id").count().where(F.col("count") > 1)
+    return materialise(many.select(F.col("id").alias("again")), "repeats")
+
+
+#: What numbers the rows of an id: rows alike in all but the last are interchangeable.
+ORDER = ["source", "size", "hash", "row"]
 
 
 def mixed(
@@ -57,26 +76,31 @@ def mixed(
     Size is the number of words (null text: 0). Each document of a source is taken
     floor(rate) times, rate = target / source_size, and once more with the fraction's
     probability, drawn from a hash of seed and id, so reruns agree and no shuffle of texts is
-    needed. A source without words has rate 0. Null ids are drawn alike; repeated rows are
-    each taken, by the same draw. Only sizes are shuffled; sources combine before the shuffle.
+    needed. A source without words has rate 0. Rows of one id, null ids among them, are numbered
+    by source, size and text, and each but the first draws by its number too, so that an id with
+    many rows comes near its share. Only ids and sizes are shuffled; sources combine before.
     """
-    sized = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size")),
-        "sizes",
-    )
+    sized = materialise(docs.select(*_sized(docs, id_col, text, source)), "sizes")
     goals = materialise(
         targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit), "targets"
     )
     g = goals.withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    return sized.join(g, sized.source.eqNullSafe(g.of)).select(
+    again = _repeats(sized)
+    if again.isEmpty():
+        drawn = sized.withColumn("nth", F.lit(1).cast("long"))
+    else:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        once = sized.join(again, same, "left_anti").withColumn("nth", F.lit(1).cast("long"))
+        drawn = once.unionByName(numbered_within(sized.join(again, same, "left_semi"), ["id"], ORDER, "nth"))
+    return drawn.join(g, drawn.source.eqNullSafe(g.of)).select(
         F.col("id").alias(id_col),
         F.col("source").alias(source),
         "size",
         "source_size",
         "target",
-        (whole + (uniform(F.col("id"), seed) < rate - whole).cast("long")).alias("copies"),
+        (whole + (uniform(F.col("id"), seed, F.col("nth")) < rate - whole).cast("long")).alias("copies"),
     )
 
 
@@ -90,20 +114,28 @@ def mix(
     seed: int = 20,
 ) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as ``mixed`` takes it."""
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(
-        F.sum(F.size(words(F.col(text))).cast("long")).alias("source_size")
-    )
-    goals = materialise(targets(sizes, weights, limit), "targets")
+    # The document in one column, so that no name can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    sized = materialise(docs.select(*_sized(docs, id_col, text, source)), "sizes")
+    goals = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit), "targets")
     g = goals.select(
         F.col("source").alias("of"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
     )
-    # The document in one column, so that no name can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("from"), F.col(id_col).alias("id"))
-    whole = F.floor("rate")
-    times = whole + (uniform(F.col("id"), seed) < F.col("rate") - whole).cast("long")
+    again = _repeats(sized)
+    rows = docs.select(whole, *_sized(docs, id_col, text, source))
+    if again.isEmpty():
+        rows = rows.select("doc", "id", "source", F.lit(1).cast("long").alias("nth"))
+    else:
+        same = F.col("id").eqNullSafe(F.col("again"))
+        once = rows.join(again, same, "left_anti").select("doc", "id", "source", F.lit(1).cast("long").alias("nth"))
+        more = materialise(rows.join(again, same, "left_semi"), "repeated")
+        nth = numbered_within(more.drop("doc"), ["id"], ORDER, "nth").select(F.col("row").alias("of_row"), "nth")
+        rows = once.union(more.join(nth, F.col("row") == F.col("of_row")).select("doc", "id", "source", "nth"))
+    floor = F.floor("rate")
+    times = floor + (uniform(F.col("id"), seed, F.col("nth")) < F.col("rate") - floor).cast("long")
     return (
-        rows.join(g, rows["from"].eqNullSafe(g.of))
+        rows.join(g, rows.source.eqNullSafe(g.of))
         .select("doc", times.alias("times"))
         .where("times > 0")
         .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,13 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a local one is made.
+    Only where a session on a single machine (a local master, as in tests) names none, a local
+    one is made; on a cluster, whose executors wouldn't see it, that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -27,13 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
-#: What this session has put in the shared folder.
-_made: list[str] = []
+#: What each session has put in the shared folder.
+_made: dict[str, list[str]] = defaultdict(list)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_folder(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made[spark._jsparkSession.sessionUUID()].append(path)
     return path
 
 
@@ -41,10 +45,11 @@ def release(spark: SparkSession) -> int:
     """Deletes what this session has put in the shared folder, and returns how many paths that was.
 
     For use once results are written: DataFrames that operators returned may read these files.
+    Other sessions' files stay.
     """
     gone = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in _made.pop(spark._jsparkSession.sessionUUID(), []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return gone
 

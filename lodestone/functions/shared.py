@@ -64,3 +64,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Inputs below so many bytes are dealt evenly by ``spread``.
+SMALL = 32 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over the cores where they are small, else as they are.
+
+    A small file is often one row group, which Spark gives to one task however many cores are
+    free; costly work per row then runs on one. Only inputs below ``SMALL`` bytes, by Spark's
+    estimate, are shuffled for that; larger ones have as many row groups as they need. The rows
+    are the same either way.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL else rows

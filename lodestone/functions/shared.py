@@ -78,5 +78,5 @@ def spread(rows: DataFrame) -> DataFrame:
     estimate, are shuffled for that; larger ones have as many row groups as they need. The rows
     are the same either way.
     """
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL else rows

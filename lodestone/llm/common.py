@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.shared import materialise, new_path, release, shared_folder  # noqa: F401
+from lodestone.functions.shared import materialise, new_path, release, shared_folder, spread  # noqa: F401
 
 #: A word: a run of anything but the six ASCII white-space characters (fixed value).
 SPACE = r"[\x20\x09-\x0D]"

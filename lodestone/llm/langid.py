@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, spread
 
 UNDETERMINED = "und"
 #: Odd 32-bit multipliers of the n-gram hash.
@@ -196,7 +196,7 @@ def fit(
     languages = sorted(per)
     # Twice the wanted share, so that nearly always enough rows come; cut to size below.
     shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, (2 * per_language + 20) / per[k]))])
-    rows = labelled.select(
+    rows = spread(labelled).select(
         text, F.col(lang).alias("lang"), h.alias("h"), (h < shares[F.col(lang)] * F.lit(float(1 << 40))).alias("wanted")
     )
     found = materialise(
@@ -250,5 +250,5 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", lang
     names = [*kept, lang, score]
     at = kept.index(text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"{lang} string, {score} double"])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], has_letter(F.col(text)).alias("_letter"))
+    rows = spread(docs).select(*[F.col(f"`{c}`") for c in kept], has_letter(F.col(text)).alias("_letter"))
     return rows.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, spread
 
 #: Notices by SPDX identifier (fixed values): the sentences by which files name their licence, and the openings
 #: and main sentences of headers and licence files.
@@ -216,7 +216,7 @@ def with_license(files: DataFrame, text: str = "text", threshold: float = 0.7) -
     rest = [c for c in kept if c != text]
     names = [*rest, "license", "score"]
     schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest), "license string", "score double"])
-    return files.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return spread(files.select(*[F.col(f"`{c}`") for c in kept])).mapInArrow(run, schema)
 
 
 def directory(path: Column) -> Column:

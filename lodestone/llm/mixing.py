@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, words
+from lodestone.llm.common import materialise, spread, words
 from lodestone.operators.ranks import numbered, numbered_within
 
 
@@ -80,7 +80,7 @@ def mixed(
     by source, size and text, and each but the first draws by its number too, so that an id with
     many rows comes near its share. Only ids and sizes are shuffled; sources combine before.
     """
-    sized = materialise(docs.select(*_sized(docs, id_col, text, source)), "sizes")
+    sized = materialise(spread(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text, source))))).select(*_sized(docs, id_col, text, source)), "sizes")
     goals = materialise(
         targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit), "targets"
     )

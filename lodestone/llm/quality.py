@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, materialise, words
+from lodestone.llm.common import SPACE, materialise, spread, words
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -30,7 +30,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", host: str = "
     of the text), ``lines`` (hash and words of each) and the counts. A null text is empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(
+    base = spread(docs).select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
         F.col(host).alias("host"),
         F.monotonically_increasing_id().alias("row"),

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, new_path
+from lodestone.llm.common import materialise, new_path, spread
 from lodestone.llm.files import create, store
 
 MAGIC = b"\x1f\x8b\x08"
@@ -40,7 +40,7 @@ def with_record_type(pages: DataFrame, key: str = "page_id", payload: str = "htm
     side of the join.
     """
     data = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    sized = pages.withColumn("_digest", base32_sha1(data)).withColumn("_bytes", F.octet_length(data).cast("long"))
+    sized = spread(pages).withColumn("_digest", base32_sha1(data)).withColumn("_bytes", F.octet_length(data).cast("long"))
     owner = (
         sized.where(F.col("_bytes") >= least)
         .groupBy("_digest").agg(F.max(key).alias("_owner"))

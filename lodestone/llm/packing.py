@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, spread
 
 Bins = list[tuple[tuple[tuple[int, int], ...], int]]
 
@@ -202,7 +202,7 @@ def tokenised_pieces(
     names = ["part", id_col, "piece", "start", "length", "ids_crc32", "rank", *["ids"] * with_ids]
     kind = dict(docs.dtypes)[id_col]
     schema = f"part int, {id_col} {kind}, piece int, start long, length long, ids_crc32 long, rank long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text)).mapInArrow(run, schema)
 
 
 def pack(
@@ -252,7 +252,8 @@ def pack(
             }
         )
 
-    placed = pieces.join(shifts, ["part", "length"]).withColumn(
+    # Shifts grow with the tasks, and their file is far smaller than their rows: never broadcast.
+    placed = pieces.join(shifts.hint("merge"), ["part", "length"]).withColumn(
         "at", place("length", F.col("rank") + F.col("shift"))
     )
     return placed.select(

@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, new_path
+from lodestone.llm.common import materialise, new_path, spread
 from lodestone.llm.files import create, read_spans
 
 #: Bytes of media that a task puts together at once.
 AT_ONCE = 32 << 20
+#: Media values of a pack that are read in one run.
+ROWS = 1024
 GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -93,14 +95,16 @@ def write_chunks(media: DataFrame, folder: str, key: str, text: str, unit: int =
     kinds = (pa.int32(), i, None, i, pa.int32(), b, pa.int32(), s, i, pa.int32())
     names = ["part", "row", key, "n_bytes", "nth", "digest", "size", "pack", "offset", "stored"]
     schema = f"part int, row long, `{key}` {media.schema[key].dataType.simpleString()}, n_bytes long, nth int, digest binary, size int, pack string, offset long, stored int"
-    return materialise(media.select(key, text).mapInArrow(run, schema), "chunks")
+    return materialise(spread(media.select(key, text)).mapInArrow(run, schema), "chunks")
 
 
 def recipes(chunks: DataFrame, key: str) -> DataFrame:
     """A row per media value: the ordered list of its chunks, each at the one place that counts.
 
-    Of equal chunks in several packs the first by (pack, offset) counts; ``vacuum`` may drop the
-    others. Rows stay with their pack, so that a task reads few packs.
+    Of equal chunks in several packs the first by (pack, offset) counts, and only that is ever
+    read. A task stores a chunk once, so one that many tasks meet is stored at most once a task.
+    Rows stay with their pack in runs of ``ROWS``, so that a task reads few packs and no pack
+    waits for one task.
     """
     place = F.min(F.struct("pack", "offset", "stored")).alias("at")
     # Written, so that a digest with many chunks is a plain join's hot key, which Spark splits.
@@ -109,8 +113,9 @@ def recipes(chunks: DataFrame, key: str) -> DataFrame:
     return (
         chunks.select("part", "row", key, "n_bytes", "nth", "digest", "size")
         .join(canonical, "digest")
-        .repartition(n, "part")
-        .groupBy("part", "row")
+        .withColumn("run", F.floor(F.col("row") / ROWS))
+        .repartition(n, "part", "run")
+        .groupBy("part", "run", "row")
         .agg(
             F.first(key).alias(key),
             F.first("n_bytes").alias("n_bytes"),

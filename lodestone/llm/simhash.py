@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, spread
 from lodestone.llm.components import connected_components
 
 #: Shingles whose bits are counted at once, so that a very long text needs bounded memory.
@@ -206,7 +206,7 @@ def near_duplicates(
     other. Repeated rows are returned as often as they occur; other columns are not read.
     """
     hashed = materialise(
-        with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")), "t", "fp", shingle, seed)
+        with_fingerprint(spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))), "t", "fp", shingle, seed)
         .select("id", "fp"),
         "prints",
     )
@@ -225,7 +225,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     hashed = materialise(
-        with_fingerprint(docs.select(whole, F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")), "t", "fp")
+        with_fingerprint(spread(docs).select(whole, F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")), "t", "fp")
         .drop("t"),
         "prints",
     )
@@ -245,5 +245,6 @@ def group_ids(hashed: DataFrame, radius: int = 4) -> DataFrame:
         ),
         "roots",
     )
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
+    # Written, so that the join below is a plain one: a root with many prints is then a hot key that Spark splits.
+    least = materialise(named.groupBy("root").agg(F.min("id").alias("least")), "least")
     return named.join(least, "root").select("fp", "least")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import quote_span
+from lodestone.operators.budgets import greedy
 from lodestone.operators.ranks import numbered, numbered_within
 
 
@@ -47,24 +45,9 @@ def budget_packets(items: DataFrame, group: list[str], order: list[str], size: s
     """``items`` with ``packed``: whether each found room in its group's packet.
 
     In order, an item is taken if the packet has room for it, and passed over otherwise, so later
-    and smaller ones may still fit. Groups are folded as a stream, with two numbers carried.
+    and smaller ones may still fit; see ``budgets.greedy``. No group columns: one packet.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, used = object(), 0, 0
-        for frame in batches:
-            packed = []
-            for key, length in zip(frame["_group"], frame[size], strict=True):
-                if key != now:
-                    now, n, used = key, 0, 0
-                fits = n < max_items and used + length <= max_chars
-                n, used = n + fits, used + fits * length
-                packed.append(bool(fits))
-            yield frame.drop(columns="_group").assign(packed=packed)
-
-    rows = items.withColumn("_group", F.to_json(F.struct(*group)) if group else F.lit(""))
-    schema = items.withColumn("packed", F.lit(True)).schema
-    return rows.repartition("_group").sortWithinPartitions("_group", *order).select(*items.columns, "_group").mapInPandas(run, schema)
+    return greedy(items, group, order, F.col(size).cast("decimal(25,12)"), max_chars, max_items, "packed")
 
 
 def diversified(items: DataFrame, fields: list[str], order: str) -> DataFrame:

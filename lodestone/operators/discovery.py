@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import materialise
 from lodestone.functions.text import collapse, fold
 from lodestone.functions.urls import evidence_url, public_url, x_post_id
-from lodestone.operators.ledger import reservations
+from lodestone.operators.budgets import greedy
 from lodestone.operators.ranks import numbered, numbered_within
 
 #: Ends of follow-up queries by purpose and language (fixed values).
@@ -92,14 +93,16 @@ def affordable(requests: DataFrame, prices: DataFrame, limit: Decimal, most: int
     """``requests`` (in ``place`` order) with ``decision``: selected, or why not.
 
     A request without a price isn't asked; one past the budget is passed over, and cheaper ones
-    after it may still fit; at most ``most`` are selected.
+    after it may still fit; at most ``most`` are selected. All are one group of ``budgets.greedy``.
     """
-    priced = requests.join(prices.select("endpoint", F.col("cost").alias("list_cost_usd")), "endpoint", "left").withColumn("_home", F.lit(1))
-    taken = reservations(priced.where("list_cost_usd is not null"), "_home", ["place"], limit).select("id", "place", "accepted")
+    priced = requests.join(prices.select("endpoint", F.col("cost").alias("list_cost_usd")), "endpoint", "left")
+    size = F.col("list_cost_usd").try_cast("decimal(25,12)")
+    taken = greedy(priced.where("list_cost_usd is not null").select("id", "place", "list_cost_usd"), [], ["place"], size, limit, out="accepted").select("id", "place", "accepted")
+    taken = materialise(taken, "affordable")
     nth = numbered(taken.where("accepted"), ["place"], "_nth").select("id", "_nth")
     rows = priced.join(taken.drop("place"), "id", "left").join(nth, "id", "left")
     decision = F.when(F.col("list_cost_usd").isNull(), "live_price_unavailable").when(~F.col("accepted"), "budget_limit").when(F.col("_nth") > most, "batch_limit").otherwise("selected")
-    return rows.withColumn("decision", decision).drop("_home", "_nth", "accepted")
+    return rows.withColumn("decision", decision).drop("_nth", "accepted")
 
 
 def review_batches(tasks: DataFrame, group: str, order: list[str], size: str, max_items: int = 16, max_chars: int = 18000, overhead: int = 1000) -> DataFrame:

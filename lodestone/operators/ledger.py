@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.budgets import greedy
+
 MONEY = "decimal(38,12)"
 STATES = ("succeeded", "failed", "outcome_unknown", "started")
 
@@ -70,24 +70,12 @@ def budget(entries: DataFrame, day: date, limits: dict[str, Decimal | None]) ->
 def reservations(entries: DataFrame, home: str, order: list[str], limit: Decimal) -> DataFrame:
     """``entries`` with ``accepted``: whether each fitted the home's limit when its turn came.
 
-    What is turned down takes no room, so this is no running sum; each home's entries are folded
-    in order, streamed in batches with one number carried, so a busy home needs little memory.
+    What is turned down takes no room, so this is no running sum; see ``budgets.greedy``. Limits
+    are below 10**13, so that sums of what fits are exact.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used = None, Decimal(0)
-        for frame in batches:
-            accepted = []
-            for key, amount in zip(frame[home], frame["list_cost_usd"], strict=True):
-                if key != now:
-                    now, used = key, Decimal(0)
-                fits = amount is not None and used + amount <= limit
-                used += amount if fits else Decimal(0)
-                accepted.append(fits)
-            yield frame.assign(accepted=accepted)
-
-    schema = entries.withColumn("accepted", F.lit(True)).schema
-    return entries.repartition(home).sortWithinPartitions(home, *order).mapInPandas(run, schema)
+    if limit >= 10**13:
+        raise ValueError("limits are below 10**13")
+    return greedy(entries, [home], order, F.col("list_cost_usd").try_cast("decimal(25,12)"), limit, out="accepted")
 
 
 def pricing(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import materialise
 from lodestone.functions.text import BROAD_TERMS, query_terms, scripts, terms
 from lodestone.functions.times import window_status
 from lodestone.functions.urls import content_url
@@ -94,7 +95,7 @@ def reposts(items: DataFrame, key: str, url: str, comment: Column | None = None)
     address = content_url(F.col(url))
     stands = F.col(url).isNull() | (F.col(url) == "") | (F.lit(False) if comment is None else F.coalesce(comment, F.lit(False)))
     place = F.when(~stands, address)
-    first = items.where(~stands).groupBy(address.alias("_place")).agg(F.min(key).alias("_first"))
+    first = materialise(items.where(~stands).groupBy(address.alias("_place")).agg(F.min(key).alias("_first")), "first")  # a plain join then, whose hot keys Spark splits
     joined = items.withColumn("_at", place).join(first, F.col("_at") == F.col("_place"), "left")
     return joined.withColumn("duplicate_of", F.when(F.col("_first") != F.col(key), F.col("_first"))).drop("_at", "_place", "_first")
 

@@ -519,8 +519,14 @@ def need_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("about.target_user", "about.task", "about.need", F.size("observation_ids").cast("long").alias("observations"), F.array_join("products", ",").alias("products"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT o_custkey, o_orderkey, o_totalprice::DECIMAL(24,12) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (
+  SELECT o_custkey, o_orderkey, i, a <= 600000 AS accepted, CASE WHEN a <= 600000 THEN a ELSE 0 END::DECIMAL(24,12) AS used FROM e WHERE i = 1 UNION ALL
+  SELECT e.o_custkey, e.o_orderkey, e.i, used + a <= 600000, (used + CASE WHEN used + a <= 600000 THEN a ELSE 0 END)::DECIMAL(24,12) FROM f JOIN e ON e.o_custkey = f.o_custkey AND e.i = f.i + 1)
+SELECT o_custkey, o_orderkey, accepted FROM f""")
 def budget_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which orders fit their customer's budget in turn; sequential, so tested against a plain fold."""
+    """Which orders fit their customer's budget in turn."""
     entries = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast(ledger.MONEY).alias("list_cost_usd"))
     return ledger.reservations(entries, "o_custkey", ["o_orderkey"], Decimal(600000)).select("o_custkey", "o_orderkey", "accepted")

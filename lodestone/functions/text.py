@@ -187,13 +187,25 @@ REDACTIONS = (
 )
 
 
-def redacted(text: Column) -> Column:
-    """A text without mail addresses, phone numbers, contacts and local paths."""
+#: A web address within a text, and what takes the place of one that can't be shown (fixed values).
+LINK, LINK_GONE = r"https?://[^\s<>\]）)]+", "[链接已移除]"
+#: Addresses with credentials, or of no public host.
+PRIVATE_LINK = r"^(?i)https?://([^/?#]*@|([^/?#:.]*|[^/?#:]+\.(local|internal|localhost|lan))([:/?#]|$)|(127|10|0|192\.168|169\.254|172\.(1[6-9]|2\d|3[01]))\.\d|\[)"
+
+
+def redacted(text: Column, limit: int | None = None) -> Column:
+    """A text without mail addresses, phone numbers, contacts, local paths, and links that can't be shown.
+
+    ``limit``: the most characters that are left.
+    """
     for pattern, mark in REDACTIONS:
         text = F.regexp_replace(text, pattern, mark)
-    return text
+    pieces = F.split(text, r"(?=https?://)")  # each but the first begins with its link
+    shown = F.transform(pieces, lambda p: F.when(p.rlike(PRIVATE_LINK), F.regexp_replace(p, f"^{LINK}", LINK_GONE)).otherwise(p))
+    text = F.array_join(shown, "")
+    return text if limit is None else F.trim(F.substring(text, 1, limit))
 
 
 def markdown_cell(text: Column) -> Column:
     """A text as a table cell."""
-    return F.regexp_replace(collapse(F.coalesce(text, F.lit(""))), r"\|", r"\\\\|")
+    return F.replace(collapse(F.coalesce(text, F.lit(""))), F.lit("|"), F.lit("\\|"))

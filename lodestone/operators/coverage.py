@@ -18,11 +18,20 @@ def histogram(value: Column, values: list[str]) -> Column:
     return F.map_from_entries(F.filter(counts, lambda x: x["n"] > 0))
 
 
+#: What a label can say (fixed values).
+LABELS = {
+    "query_match": ["adjacent", "direct", "unknown", "unrelated"],
+    "actor": ["editorial", "supplier", "unknown", "user"],
+    "signal": ["alternative", "discussion", "payment", "promotion", "task", "unknown"],
+}
+
+
 def label_statistics(material: DataFrame, by: list[list[str]]) -> DataFrame:
     """Label counts over grouping sets; an empty set is the grand total.
 
     ``material`` has a row per item: query_match, actor and signal (null: unlabelled), and
-    window_status. One pass over the items serves all groupings.
+    window_status. One pass over the items serves all groupings. Histograms are maps of the
+    values that occur: of each label, and of the publication windows of direct user signals.
     """
     labelled = F.col("actor").isNotNull()
     direct = (F.col("actor") == "user") & (F.col("query_match") == "direct") & F.col("signal").isin("task", "payment", "alternative")
@@ -38,6 +47,8 @@ def label_statistics(material: DataFrame, by: list[list[str]]) -> DataFrame:
         F.count_if(F.col("actor") == "supplier").alias("supplier_count"),
         F.count_if(F.col("signal") == "promotion").alias("promotion_count"),
         F.count_if(unknown).alias("unknown_count"),
+        *[histogram(F.when(labelled, F.col(name)), values).alias(f"{name}_counts") for name, values in LABELS.items()],
+        histogram(F.when(direct, F.col("window_status")), sorted(WINDOWS)).alias("direct_user_publication_window_counts"),
     )
     n = F.col("labeled_count")
     return found.withColumns({
@@ -157,3 +168,54 @@ def collection_coverage(pages: DataFrame) -> DataFrame:
     """Comments by source: posts, pages, comments, and posts whose pages weren't all read."""
     posts = pages.groupBy("source", "post_id").agg(F.count_distinct("fingerprint").alias("pages"), F.sum("comments").alias("comments"), F.max_by("has_more", "page").alias("open"))
     return posts.groupBy("source").agg(F.count("*").alias("posts"), F.sum("pages").alias("pages"), F.sum("comments").alias("comments"), F.count_if("open").alias("open_posts"))
+
+
+#: States of a review task (fixed values), and those that leave it unreviewed.
+TASK_STATES = ("pending", "leased", "reviewed", "unknown", "needs_fulltext", "failed", "stale", "excluded")
+UNREVIEWED = ("pending", "leased", "unknown", "needs_fulltext", "failed")
+
+
+def community_statistics(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """One row on a collection: what requests brought, what is valid, and how items are spread.
+
+    ``requests``: fetched, parsed, relevant, retained; ``items``: source, kind (evidence or
+    comment), eligible, window_status, relevance_status, duplicate.
+    """
+    sums = requests.agg(F.count("*").alias("requests"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("fetched", "parsed", "relevant", "retained")])
+    shown = items.where(~F.coalesce("duplicate", F.lit(False)))
+    eligible = F.coalesce("eligible", F.lit(False))
+    counts = shown.agg(
+        F.count_if(eligible & (F.col("kind") == "evidence")).alias("valid_items"), F.count_if(eligible & (F.col("kind") == "comment")).alias("valid_comments"),
+        histogram(F.col("window_status"), sorted(WINDOWS)).alias("window_status"), histogram(F.col("relevance_status"), ["relevant", "unknown", "unrelated"]).alias("relevance_status"),
+    )
+    gone = items.agg(F.count_if(F.coalesce("duplicate", F.lit(False))).alias("duplicates_removed"))
+    by_source = shown.groupBy("source").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "count")))).alias("by_source"))
+    rows = [x.withColumn("_one", F.lit(1)) for x in (sums, counts, gone, by_source)]  # a row each
+    return rows[0].join(rows[1], "_one").join(rows[2], "_one").join(rows[3], "_one").drop("_one")
+
+
+def normaliser_statistics(statuses: DataFrame) -> DataFrame:
+    """By source, over ``parse_status`` rows: requests, items, and requests of unknown or of each parse state.
+
+    A response that isn't recognised has no known number of items, which isn't 0.
+    """
+    return statuses.groupBy("source").agg(
+        F.count("*").alias("requests_seen"), F.coalesce(F.sum("raw_items"), F.lit(0)).alias("raw_items"), F.sum("parsed_items").alias("parsed_items"),
+        F.count_if(F.col("raw_items").isNull()).alias("requests_with_unknown_raw_count"), F.sum("skipped_items").alias("skipped_noncontent_items"),
+        histogram(F.col("parse_status"), ["empty_result", "parsed", "partial_parse", "unrecognized_response"]).alias("parse_status"),
+    )
+
+
+def queue_summary(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """Review tasks by state; what is only leased or unclear counts as unreviewed."""
+    return tasks.groupBy(*by).agg(
+        F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in TASK_STATES], F.count_if(F.col("status").isin(*UNREVIEWED)).alias("unreviewed_count")
+    )
+
+
+def execution_summary(results: DataFrame) -> DataFrame:
+    """By source: requests by outcome, those reused, attempts, and what the attempts are estimated to cost."""
+    return results.groupBy("source").agg(
+        F.count("*").alias("requests"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "error", "skipped", "outcome_unknown")],
+        F.count_if("reused").alias("reused"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"), F.bround(F.sum("cost_usd"), 6).alias("estimated_attempted_cost_usd"),
+    )

@@ -121,3 +121,36 @@ def cost_yield(executions: DataFrame, evidence: DataFrame, by: str = "source") -
     found = evidence.groupBy(by).agg(F.count_distinct("evidence_id").alias("evidence"), F.count_if("linked").alias("linked"))
     rows = runs.join(found, by, "full").fillna(0, ["requests", "ok", "evidence", "linked"])
     return rows.withColumn("cost_per_evidence", F.when(F.col("evidence") > 0, F.col("cost") / F.col("evidence")).cast(MONEY))
+
+
+def digest(qualified: DataFrame, evidence: DataFrame, used: DataFrame, executions: DataFrame) -> DataFrame:
+    """One row on a run: conclusions and families, how much evidence they use, and what each cost.
+
+    ``qualified``: family, tier (A and B are validated, R is regional); ``evidence`` and
+    ``used``: marker; ``executions`` as of ``cost_yield``. What would be divided by 0 is null.
+    """
+    families = qualified.agg(
+        F.count("*").alias("qualified_conclusion_count"), F.count_distinct("family").alias("qualified_family_count"),
+        F.count_distinct(F.when(F.col("tier").isin("A", "B"), F.col("family"))).alias("validated_opportunity_family_count"),
+        F.count_distinct(F.when(F.col("tier") == "R", F.col("family"))).alias("regional_hypothesis_family_count"),
+        (F.least(F.count_if(F.col("tier") == "A"), F.lit(5)) + F.least(F.count_if(F.col("tier") == "B"), F.lit(40)) + F.least(F.count_if(F.col("tier") == "R"), F.lit(80))).alias("suggested_report_display_count"),
+    )
+    known = evidence.select("marker").distinct()
+    markers = known.join(used.select("marker", F.lit(True).alias("_used")).distinct(), "marker", "left").agg(
+        F.count("*").alias("normalized_evidence_count"), F.count_if(F.coalesce("_used", F.lit(False))).alias("used_normalized_evidence_count")
+    )
+    costs = executions.dropDuplicates(["content_hash"]).agg(
+        F.count("*").alias("paid_request_count"), F.count_if(F.col("status") == "ok").alias("paid_request_ok"), F.coalesce(F.sum(F.col("cost_usd").cast(MONEY)), F.lit(0)).cast(MONEY).alias("estimated_cost_usd")
+    )
+    rows = [x.withColumn("_one", F.lit(1)) for x in (families, markers, costs)]  # a row each
+    whole = rows[0].join(rows[1], "_one").join(rows[2], "_one").drop("_one")
+
+    def share(top: Column, bottom: str, places: int) -> Column:
+        return F.when(F.col(bottom) > 0, F.bround(top / F.col(bottom), places).cast("double"))
+
+    return whole.withColumns({
+        "additional_conclusion_count": F.col("qualified_conclusion_count") - F.col("suggested_report_display_count"),
+        "evidence_utilization_percent": share(100 * F.col("used_normalized_evidence_count").cast("decimal(20,0)"), "normalized_evidence_count", 2),
+        "cost_per_qualified_conclusion_usd": share(F.col("estimated_cost_usd"), "qualified_conclusion_count", 6),
+        "cost_per_validated_family_usd": share(F.col("estimated_cost_usd"), "validated_opportunity_family_count", 6),
+    })

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,80 @@ def contract_problems(document: Column, required: list[str], optional: list[str]
     return F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.concat(lacking, extra))
 
 
+#: How VARIANT calls what JSON schemas name (fixed values).
+KINDS = {"null": "VOID", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "string": "STRING", "array": "ARRAY.*", "object": "OBJECT.*"}
+#: Formats of text as patterns; dates must also be days of the calendar (fixed values).
+FORMATS = {"date": r"^\d{4}-\d{2}-\d{2}$", "date-time": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$", "uri": r"^https://[^/@?#\s]+([/?#].*)?$"}
+
+
+def schema_problems(document: Column, schema: dict, consumer: bool = False) -> Column:
+    """What in a JSON document breaks a JSON schema, as 'path: problem', in the order of the schema.
+
+    Knows type, enum, const, required, properties, additionalProperties, items, minItems,
+    maxItems, uniqueItems, minLength, maxLength, pattern, format, minimum, maximum, oneOf, anyOf
+    and references to ``$defs`` (not to themselves: the check is one expression over VARIANT, laid
+    out as deep as the schema). A ``consumer`` tolerates fields that the schema doesn't know.
+    """
+    value = F.try_parse_json(document)
+    return F.when(value.isNull(), F.array(F.lit("$: no JSON"))).otherwise(_node_problems(value, schema, schema.get("$defs", {}), F.lit("$"), consumer))
+
+
+def _node_problems(node: Column, spec: dict, defs: dict, path: Column, consumer: bool) -> Column:
+    none = F.array().cast("array<string>")
+    if "$ref" in spec:
+        spec = defs[spec["$ref"].rsplit("/", 1)[-1]]
+    said = lambda what: F.array(F.concat(path, F.lit(f": {what}")))
+    for way in ("oneOf", "anyOf"):
+        if way in spec:
+            fitting = sum((F.when(F.size(_node_problems(node, s, defs, path, consumer)) == 0, 1).otherwise(0) for s in spec[way]), F.lit(0))
+            return F.when(fitting == 1 if way == "oneOf" else fitting >= 1, none).otherwise(said(f"fits {way} wrongly"))
+    kind = F.schema_of_variant(node)
+    is_a = lambda *names: kind.rlike(f"^({'|'.join(KINDS[n] for n in names)})$")
+    found = []
+    if "enum" in spec:
+        found.append(F.when(~F.to_json(node).isin([json.dumps(v, ensure_ascii=False) for v in spec["enum"]]), said("not in enum")))
+    if "const" in spec:
+        found.append(F.when(F.to_json(node) != json.dumps(spec["const"], ensure_ascii=False), said("not the constant")))
+    if "required" in spec or "properties" in spec:
+        keys = F.json_object_keys(F.to_json(node))
+        own = [F.when(~F.array_contains(keys, k), F.array(F.concat(path, F.lit(f".{k}: required")))) for k in spec.get("required", [])]
+        for k, child in spec.get("properties", {}).items():
+            inner = F.try_variant_get(node, f"$['{k}']", "variant")
+            own.append(F.when(F.array_contains(keys, k), _node_problems(inner, child, defs, F.concat(path, F.lit(f".{k}")), consumer)))
+        if spec.get("additionalProperties") is False and not consumer:
+            extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in spec.get("properties", {})]).cast("array<string>")))
+            own.append(F.transform(extra, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed"))))
+        found.append(F.when(is_a("object"), F.concat(none, *[F.coalesce(x, none) for x in own])))
+    if {"items", "minItems", "maxItems", "uniqueItems"} & set(spec):
+        each = F.try_variant_get(node, "$", "array<variant>")
+        n = F.size(each)
+        own = [F.when(~n.between(spec.get("minItems", 0), spec.get("maxItems", (1 << 31) - 1)), said("number of items"))]
+        if spec.get("uniqueItems"):
+            own.append(F.when(F.size(F.array_distinct(F.transform(each, lambda x: F.to_json(x)))) < n, said("repeated items")))
+        if "items" in spec:
+            own.append(F.flatten(F.transform(each, lambda x, k: _node_problems(x, spec["items"], defs, F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), consumer))))
+        found.append(F.when(is_a("array"), F.concat(none, *[F.coalesce(x, none) for x in own])))
+    text = F.try_variant_get(node, "$", "string")
+    if {"minLength", "maxLength"} & set(spec):
+        fits = (F.length(F.trim(text)) >= spec.get("minLength", 0)) & (F.length(text) <= spec.get("maxLength", (1 << 31) - 1))
+        found.append(F.when(is_a("string") & ~fits, said("length of text")))
+    if "pattern" in spec:
+        found.append(F.when(is_a("string") & ~text.rlike(spec["pattern"]), said("pattern")))
+    if "format" in spec:
+        fits = text.rlike(FORMATS[spec["format"]])
+        fits = fits & F.try_to_timestamp(text).isNotNull() if spec["format"].startswith("date") else fits
+        found.append(F.when(is_a("string") & ~fits, said("format")))
+    if {"minimum", "maximum"} & set(spec):
+        number = F.try_variant_get(node, "$", "double")
+        inside = (number >= spec.get("minimum", float("-inf"))) & (number <= spec.get("maximum", float("inf")))
+        found.append(F.when(is_a("number") & ~inside, said("number out of range")))
+    inner = F.concat(none, *[F.coalesce(x, none) for x in found])
+    if "type" not in spec:
+        return inner
+    types = [spec["type"]] if isinstance(spec["type"], str) else spec["type"]
+    return F.when(~is_a(*types), said("wrong type")).otherwise(inner)
+
+
 def dangling(items: DataFrame, evidence: DataFrame) -> DataFrame:
     """References of ``items`` (item_id, refs array<struct<id,revision_id>>) that no evidence answers."""
     refs = items.select("item_id", F.explode("refs").alias("r")).select("item_id", "r.*")

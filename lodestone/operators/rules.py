@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import fold
+from lodestone.functions.text import fold, only_latin
 
 #: What says nothing about the use of a model (fixed values, folded).
 EMPTY_VALUES = ("", "未知", "待验证", "ai", "ai赋能", "加聊天框", "提升效率", "unknown", "tbd", "这是需要验证的事情")
@@ -120,3 +120,44 @@ def unverified(changed: Column, verified: Column) -> Column:
 def future_nested(nested: Column, cutoff: Column, clock: str = "published_at") -> Column:
     """Whether anything in an array of structs is from after the cutoff."""
     return F.exists(nested, lambda x: F.coalesce(x[clock] > cutoff, F.lit(False)))
+
+
+def intent_rules(sources: list[str], roles: list[str], english_only: tuple[str, ...] = ("hackernews", "github")) -> dict[str, Column]:
+    """What a search intent must be: named, worded, of a known source, and English where that is all a source has.
+
+    Follow-ups (with a task_family_id) name their purpose, key, checks, observations and evidence.
+    """
+    follows = F.col("task_family_id").isNotNull()
+    refs = F.col("source_evidence_refs")
+    whole = F.size(refs).between(1, 20) & F.forall(refs, lambda r: (F.trim(r["evidence_id"]) != "") & (F.trim(r["revision_id"]) != ""))
+    followup = text_rule("purpose", 100) & text_rule("query_key", 100) & list_rule("required_checks", 20) & list_rule("source_observation_ids", 20) & whole
+    base = F.substring_index("language", "-", 1)
+    texts = {f"no {c}": text_rule(c, 100 if c == "search_query" else 1000) for c in ("question", "search_query", "ranking_query")}
+    return texts | {
+        "id malformed": F.col("id").rlike("^[a-z0-9][a-z0-9._-]{0,39}$") & ~F.col("id").endswith("-"),
+        "unknown source": F.col("source").isin(*sources),
+        "unknown evidence_type": F.col("evidence_type").isin(*roles),
+        "not in English": ~F.col("source").isin(*english_only) | ((base == "en") & only_latin(F.col("search_query"))),
+        "too many gaps": F.coalesce(F.size("candidate_gaps"), F.lit(0)) <= 20,
+        "followup incomplete": ~follows | F.coalesce(followup, F.lit(False)),
+    }
+
+
+def comparison_rules() -> dict[str, Column]:
+    """What a comparison of a baseline and a model must state before, and its measurements after.
+
+    Columns: baseline, ai_variant, task_selection, evaluation_method, planned_sample_size, metrics
+    array<struct<id,unit,acceptance_rule>>, measurements array<struct<metric_id,baseline_value,ai_value,sample_size,evidence_ref>>.
+    """
+    full = lambda x: F.coalesce(F.trim(x), F.lit("")) != ""
+    ids = F.transform("metrics", lambda m: m["id"])
+    measured = F.forall(
+        F.coalesce(F.col("measurements"), F.slice(F.col("measurements"), 1, 0)),
+        lambda r: F.array_contains(ids, r["metric_id"]) & r["baseline_value"].isNotNull() & r["ai_value"].isNotNull() & (r["sample_size"] >= 1) & full(r["evidence_ref"]),
+    )
+    return {f"no {c}": text_rule(c) for c in ("baseline", "ai_variant", "task_selection", "evaluation_method")} | {
+        "planned_sample_size": F.col("planned_sample_size") >= 1,
+        "metrics": (F.size("metrics") > 0) & F.forall("metrics", lambda m: full(m["id"]) & full(m["unit"]) & full(m["acceptance_rule"])),
+        "metric ids": F.size(F.array_distinct(ids)) == F.size(ids),
+        "measurements": F.col("measurements").isNull() | measured,
+    }

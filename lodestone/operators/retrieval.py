@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import materialise, spread
 from lodestone.operators.ranks import numbered, numbered_within
 
 
@@ -24,6 +25,19 @@ def postings(docs: DataFrame, key: str, text: str, tokens: Column | None = None)
     return grouped.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
+def looked_up(docs: DataFrame, key: str, text: str, terms: list[str]) -> tuple[DataFrame, int, float]:
+    """Postings of ``terms`` alone, with the number of documents and their mean length: what ``bm25`` asks for.
+
+    Texts are read and cut into words once; of a text's words only the wanted ones leave its row.
+    """
+    words = spread(docs.select(key, text)).select(key, word_array(F.col(text)).alias("_w"))
+    wanted = F.filter("_w", lambda w: w.isin(sorted(set(terms))))
+    rows = materialise(words.select(key, F.size("_w").alias("length"), wanted.alias("_hits")), "words")
+    n, mean = rows.agg(F.count("*"), F.avg("length")).first()
+    hits = rows.select(key, "length", F.explode("_hits").alias("term"))
+    return hits.groupBy(key, "term", "length").agg(F.count("*").alias("tf")), n, mean or 1.0
+
+
 def bm25(index: DataFrame, key: str, terms: list[str], documents: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents that hold all ``terms``, by BM25 over the whole index.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, text, times, urls
+from lodestone.functions.shared import spread
 from lodestone.operators import claims, coverage, funnel, ledger, library, needs, publish, quality, retrieval, state
 from lodestone.plans import catalog
 
@@ -175,7 +176,7 @@ FROM s""".replace("{{", "{").replace("}}", "}"))
 def quality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("date")
     window = times.research_window(date(2026, 7, 14))
-    found = quality.assessed(answered_turns(spark, sf_dir), window, F.col("text"), F.col("reply"), none, none, none)
+    found = quality.assessed(spread(answered_turns(spark, sf_dir)), window, F.col("text"), F.col("reply"), none, none, none)
     return found.select("conv_id", "turn", "local_relevance", "relevance_status", "lexical_status")
 
 
@@ -216,9 +217,8 @@ d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
 SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
 FROM p JOIN d USING (term), c GROUP BY doc_id HAVING count(*) = 2""")
 def bm25_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(retrieval.word_array(F.col("text"))))).first()
-    found = retrieval.bm25(retrieval.postings(docs, "doc_id", "text"), "doc_id", ["the", "license"], n, mean or 1.0)
+    index, n, mean = retrieval.looked_up(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "license"])
+    found = retrieval.bm25(index, "doc_id", ["the", "license"], n, mean)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -233,6 +233,7 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", lang
     """``docs`` with the predicted language and its calibrated probability.
 
     Null texts, texts without a letter, and all texts where nothing was learned get ``und``, 0.
+    A very long text is read as a whole within its task, in memory in proportion to it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

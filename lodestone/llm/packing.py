@@ -226,7 +226,8 @@ def pack(
     ``capacity`` numbers whatever the size of the corpus, so it is made for the whole corpus at
     once: first Martello-Toth dominance reduction, then best fit for the rest. Pieces find their
     place by their rank among equal lengths: rank in the task plus the count in tasks before.
-    Repeated rows and null ids are packed like any other; no documents give no rows.
+    Repeated rows and null ids are packed like any other; no documents give no rows. A very long
+    text is encoded as a whole within its task, which takes memory in proportion to the text alone.
     """
     spark = docs.sparkSession
     pieces = materialise(

@@ -18,6 +18,8 @@ from lodestone.llm.components import connected_components
 BLOCK = 1 << 15
 #: Fingerprints of one segment bucket that a task holds at once; larger buckets are split.
 BUCKET = 1024
+#: Buckets of over so many fingerprints are cut by the bits of the other segments first.
+HUGE = 32 * BUCKET
 #: Fingerprint pairs that are compared in one vectorised step.
 PAIRS = 1 << 21
 
@@ -137,14 +139,68 @@ def _links(radius: int):
     return run
 
 
+def _cut(table: DataFrame, probes: DataFrame, plan: list[tuple[int, int, int]], radius: int) -> tuple[DataFrame, DataFrame]:
+    """``table`` and ``probes`` (fp, cell) with huge cells cut by segments of the other bits, as hashes.
+
+    What collides with another cell's hash is compared in vain, and dropped like any other pair
+    that isn't near.
+    """
+    counts = table.groupBy("cell").count().where(F.col("count") > HUGE).select(F.col("cell").alias("huge"))
+    counts = materialise(counts, "huge")
+    if counts.isEmpty():
+        return table, probes
+
+    def cells(balls: bool):
+        options = []
+        for k, (shift, width, _) in enumerate(plan):
+            low = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1))
+            high = F.shiftrightunsigned("fp", shift + width) if shift + width < 64 else F.lit(0).cast("long")
+            rest = F.shiftleft(high, shift).bitwiseOR(low)  # the bits that aren't the bucket's
+            found = []
+            for j, (s, w, r) in enumerate(segments(radius, 3, 64 - width)):
+                value = F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << w) - 1))
+                for m in (_ball(w, r) if r >= 0 else []) if balls else [0]:
+                    found.append(F.xxhash64("cell", F.lit(j), value.bitwiseXOR(F.lit(m))))
+            options.append((F.shiftright("cell", 56) == k, F.array(*found)))
+        rule = F.when(*options[0])
+        for o in options[1:]:
+            rule = rule.when(*o)
+        return rule
+
+    def step(rows: DataFrame, balls: bool) -> DataFrame:
+        joined = rows.join(counts, F.col("cell") == F.col("huge"), "left")
+        return joined.select("fp", F.explode(F.when(F.col("huge").isNull(), F.array("cell")).otherwise(cells(balls))).alias("cell"))
+
+    return step(table, False), step(probes, True)
+
+
+def _dealt(table: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``table`` and ``probes`` with cells of over ``BUCKET`` prints dealt over blocks, each of which a probe visits."""
+    dense = materialise(
+        table.groupBy("cell").count().where(F.col("count") > BUCKET)
+        .select("cell", F.ceil(F.col("count") / BUCKET).alias("blocks")),
+        "dense",
+    )
+    n_dense = dense.count()
+    if not n_dense:
+        return table, probes
+    few = F.broadcast(dense) if n_dense <= 50_000 else dense
+    table = table.join(few, "cell", "left").select(
+        "fp", (F.col("cell") + F.coalesce(F.pmod(F.xxhash64("fp"), "blocks"), F.lit(0))).alias("cell")
+    )
+    blocks = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
+    return table, probes.join(few, "cell", "left").select("fp", F.explode(F.transform(blocks, lambda b: F.col("cell") + b)).alias("cell"))
+
+
 def near_links(prints: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """Links ``(a, b)`` that connect exactly what pairs within ``radius`` bits connect.
 
     ``prints`` holds distinct long ``fp``. Multi-index hashing: each print lies in one bucket
     per segment and looks into the buckets of the small Hamming ball around its own segment
-    value; what it meets there is verified over all 64 bits. A bucket of over ``BUCKET`` prints
-    is dealt over several cells, and every print that looks into it visits each of them, so no
-    task holds a large bucket. Of the verified pairs, each task keeps a spanning forest: output
+    value; what it meets there is verified over all 64 bits. A bucket of over ``HUGE`` prints is
+    cut once more in the same way, by segments of the bits that its prints don't share; one of
+    over ``BUCKET`` is dealt over several cells, and every print that looks into it visits each
+    of them, so no task holds a large bucket. Of the verified pairs, each task keeps a spanning forest: output
     grows with the prints, not with the square of a dense group, and no connection is lost.
 
     Three segments make 46 keys of 21 or 22 bits a print, which suits up to some 10**9 prints;
@@ -165,23 +221,7 @@ def near_links(prints: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
 
     table = keyed([[0] for _ in plan])
     probes = keyed([_ball(w, r) if r >= 0 else [] for _, w, r in plan])
-    dense = materialise(
-        table.groupBy("cell").count().where(F.col("count") > BUCKET)
-        .select("cell", F.ceil(F.col("count") / BUCKET).alias("blocks")),
-        "dense",
-    )
-    n_dense = dense.count()
-    if n_dense:
-        few = F.broadcast(dense) if n_dense <= 50_000 else dense
-        table = table.join(few, "cell", "left").select(
-            "fp", (F.col("cell") + F.coalesce(F.pmod(F.xxhash64("fp"), "blocks"), F.lit(0))).alias("cell")
-        )
-        probes = probes.join(few, "cell", "left").select(
-            "fp",
-            F.explode(
-                F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1), lambda b: F.col("cell") + b)
-            ).alias("cell"),
-        )
+    table, probes = _dealt(*_cut(table, probes, plan, radius))
     rows = table.select("cell", "fp", F.lit(False).alias("probe")).union(
         probes.select("cell", "fp", F.lit(True).alias("probe"))
     )

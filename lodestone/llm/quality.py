@@ -13,7 +13,7 @@ SYMBOLS = "#*$%&|<>"
 
 def normalised_line(line: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(line, SPACE + "+", " ")))
+    return F.lower(F.array_join(words(line), " "))
 
 
 def lines(text: Column) -> Column:
@@ -39,12 +39,12 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", host: str = "
         lines(t).alias("_l"),
     )
     n = F.size("_w")
-    # Windows of three words, by hash; get() past the end is never asked for.
+    # Windows of three words, by the hashes of their words; get() past the end is never asked for.
     windows = F.transform(
-        F.slice("_w", 1, F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)),
+        F.slice("_v", 1, F.greatest(n - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get("_v", i + 1), F.get("_v", i + 2)),
     )
-    step = base.withColumn("_h", windows)
+    step = base.withColumn("_v", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_h", windows)
     ordered = F.when(
         F.size(F.array_distinct("_h")) < F.size("_h"),
         F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -65,8 +65,8 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", host: str = "
         lambda total, x: total + x,
     )
     by_line = F.transform(
-        F.transform("_l", normalised_line),
-        lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(words(x)).alias("n")),
+        F.transform("_l", words),
+        lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("line"), F.size(w).alias("n")),
     )
     found = step.select(
         "doc",
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text", host: str = "
         F.xxhash64("_t").alias("content"),
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE + "+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+        F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).alias("n_repeat_words"),
         by_line.alias("lines"),

@@ -21,7 +21,7 @@ BUCKET = 1024
 #: Buckets of over so many fingerprints are cut by the bits of the other segments first.
 HUGE = 32 * BUCKET
 #: Fingerprint pairs that are compared in one vectorised step.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 def simhash64(text: str | None, shingle: int = 4, seed: int = 42) -> int:

@@ -249,12 +249,12 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
     )
     tree = rows.select("dir").where("dir is not null").distinct().select("dir", F.explode(above).alias("up"))
     nearest = (
-        tree.join(speaking, F.col("up.dir") == F.col("from"))
+        tree.join(speaking.hint("merge"), F.col("up.dir") == F.col("from"))  # grows with the tree, as the next: never broadcast
         .groupBy(F.col("dir").alias("below"))
         .agg(F.max_by(F.struct("speaks", "from"), "up.depth").alias("near"))
     )
     nearest = materialise(nearest, "nearest")  # a row per directory; a plain join's hot keys are split
-    joined = rows.join(nearest, rows.dir == nearest.below, "left")
+    joined = rows.join(nearest.hint("merge"), rows.dir == nearest.below, "left")
     added = ("inherited", "inherited_from", "effective")
     return joined.select(
         *[F.col("file").getField(c).alias(c) for c in files.columns if c not in added],

@@ -259,7 +259,7 @@ def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH s AS ({STRONG}), o AS (SELECT DISTINCT s.url FROM s WHERE page_id % 3 = 0)
 SELECT url AS key, url IN (SELECT url FROM o) AS verified FROM s GROUP BY url""")
-def opened_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = discovery.merged_candidates(pages.select("url", F.lit("p").alias("provider"), F.lit("q").alias("query")))
     opened = pages.select(

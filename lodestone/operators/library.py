@@ -128,10 +128,12 @@ def resolved(references: DataFrame, records: DataFrame) -> DataFrame:
     ).where("w.key is not null")
     fits = (F.col("revision_id").isNull() | (F.col("revision_id") == F.col("_rev"))) & (F.col("quote").isNull() | F.contains(F.col("_text"), F.col("quote")))
     hits = ways.join(index, (F.col("w.key") == F.col("_key")) & (F.col("w.rank") == F.col("_rank"))).where(fits)
-    best = hits.groupBy("ref_id", F.col("w.rank").alias("rank")).agg(F.collect_set(F.struct("_id", "_rev")).alias("found"))
+    # The least and the greatest match tell one from many, however many there are.
+    match = F.struct("_id", "_rev")
+    best = hits.groupBy("ref_id", F.col("w.rank").alias("rank")).agg(F.struct(F.min(match).alias("low"), F.max(match).alias("high")).alias("found"))
     best = best.groupBy("ref_id").agg(F.min_by("found", "rank").alias("found"))
-    one = F.when(F.size("found") == 1, F.col("found")[0])
-    problem = F.when(F.col("found").isNull(), "missing").when(F.size("found") > 1, "ambiguous")
+    one = F.when(F.col("found.low") == F.col("found.high"), F.col("found.low"))
+    problem = F.when(F.col("found").isNull(), "missing").when(F.col("found.low") != F.col("found.high"), "ambiguous")
     return references.join(best, "ref_id", "left").withColumns({"match_evidence_id": one["_id"], "match_revision_id": one["_rev"], "problem": problem}).drop("found")
 
 

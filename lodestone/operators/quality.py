@@ -128,15 +128,21 @@ def best_rank_merge(rows: DataFrame, url: str, rank: Column, position: Column) -
 
 
 def merged_requests(requests: DataFrame, fingerprint: str, order: str, arrays: list[str]) -> DataFrame:
-    """Requests of one fingerprint as one: the first stays, arrays of all are joined in order."""
+    """Requests of one fingerprint as one: the first stays, arrays of all are joined in order, each value once.
 
-    def in_order(name: str) -> Column:
-        pairs = F.array_sort(F.collect_list(F.struct(order, name)))
-        return F.array_distinct(F.flatten(F.transform(pairs, lambda x: x[name]))).alias(name)
-
-    gathered = [in_order(a) for a in arrays]
+    Values are made distinct before they are gathered, so a request that is repeated without end
+    gathers no more than the different values it had.
+    """
     rest = [c for c in requests.columns if c not in arrays]
-    return requests.groupBy(F.col(fingerprint).alias("_f")).agg(F.min_by(F.struct(*rest), order).alias("_row"), *gathered).select("_row.*", *arrays)
+    found = requests.groupBy(F.col(fingerprint).alias("_f")).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    none = {a: F.array().cast(requests.schema[a].dataType) for a in arrays}
+    for k, a in enumerate(arrays):
+        each = requests.select(F.col(fingerprint).alias(f"_f{k}"), F.col(order).alias("_o"), F.posexplode(a).alias("_p", "_value"))
+        once = each.groupBy(f"_f{k}", "_value").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+        joined = once.groupBy(f"_f{k}").agg(F.array_sort(F.collect_list(F.struct("_at", "_value"))).alias("_all"))
+        joined = materialise(joined.select(f"_f{k}", F.col("_all._value").alias(f"_a{k}")), "merged")
+        found = found.join(joined, F.col("_f").eqNullSafe(F.col(f"_f{k}")), "left").withColumn(f"_a{k}", F.coalesce(f"_a{k}", none[a]))
+    return found.select("_row.*", *[F.col(f"_a{k}").alias(a) for k, a in enumerate(arrays)])
 
 
 def engagement_rank(rows: DataFrame, relevance: Column, score: Column, recent: Column, engagement: Column, partition: list[str], order: str) -> DataFrame:

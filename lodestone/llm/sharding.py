@@ -157,7 +157,6 @@ class ShardStore:
         schema = merged_schema(self.schema(version), rows.schema)
         with self._registered() as name:
             shards = self._written([rows], name, version + 1)
-            shards = self.spark.createDataFrame(shards.collect(), shards.schema)  # the list of one append's shards
             while True:
                 try:
                     self.commit(self.manifest(version).unionByName(shards), version + 1, schema)

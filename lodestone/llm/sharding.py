@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 SCHEMA_FILE = "_schema.json"
+#: Names of columns that reading a store adds or asks Spark for.
+TAKEN = ("_shard", "_metadata")
 
 
 def merged_schema(old: StructType | None, new: StructType) -> StructType:
-    """The columns of ``old``, then those that only ``new`` has, all nullable; raises where types differ."""
+    """The columns of ``old``, then those that only ``new`` has, all nullable.
+
+    Raises where types differ, where names differ by case alone, and for names that the store needs.
+    """
     kinds = {f.name: f.dataType for f in old or ()}
     for f in new:
+        if f.name.lower() in TAKEN:
+            raise ValueError(f"column {f.name}: the store needs this name")
+        if f.name not in kinds and f.name.lower() in {name.lower() for name in kinds}:
+            raise ValueError(f"column {f.name}: there is one that differs by case alone")
         if kinds.setdefault(f.name, f.dataType).jsonValue() != f.dataType.jsonValue():
             raise ValueError(f"column {f.name} was {kinds[f.name].simpleString()} and comes as {f.dataType.simpleString()}")
     return StructType([StructField(name, kind, True) for name, kind in kinds.items()])
@@ -56,7 +65,8 @@ class ShardStore:
     of data. Nothing is deleted but by ``vacuum``.
 
     A version has a schema: the columns of all appends so far by name. Shards without a column
-    give nulls, a column that comes with another type is refused, and the case of names counts.
+    give nulls. A column that comes with another type, or in another case, is refused, and so
+    are the names in ``TAKEN``.
     """
 
     def __init__(self, spark: SparkSession, base: str, target: int = 128 << 20, fanout: int = 4, smallest: int = 1 << 20):

@@ -50,6 +50,15 @@ def test_a_column_of_another_type_is_refused(spark, tmp_path):
     assert store.version() == 1 and not os.listdir(tmp_path / "writing")
 
 
+@pytest.mark.parametrize(("name", "why"), [("_shard", "needs this name"), ("_metadata", "needs this name"), ("ID", "by case alone")])
+def test_names_that_clash_are_refused(spark, tmp_path, name, why):
+    store = ShardStore(spark, f"file://{tmp_path}")
+    store.append(spark.range(3))
+    with pytest.raises(ValueError, match=why):
+        store.append(spark.range(3).toDF(name))
+    assert store.version() == 1 and store.read().count() == 3
+
+
 def test_vacuum_leaves_what_a_running_append_has_written(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}")
     other = ShardStore(spark, f"file://{tmp_path}")

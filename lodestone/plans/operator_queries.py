@@ -574,3 +574,37 @@ def comparison_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(metric(F.lit("m1")), metric(F.when(n % 5 == 0, "m1").otherwise("m2"))).alias("metrics"), F.when(n % 11 != 0, F.array(measured)).alias("measurements"),
     )
     return rules.violations(rows, rules.comparison_rules()).select("p_partkey", F.array_join("violations", ",").alias("broken"))
+
+
+@query("""
+SELECT 'T' || c_custkey AS task_family_id, 'workflow_artifact' AS purpose, 'task ' || c_custkey || ' a rush' AS query FROM customer UNION ALL
+SELECT 'T' || c_custkey, 'alternative', 'task ' || c_custkey || ' ' || c_mktsegment || ' alternatives services' FROM customer UNION ALL
+SELECT 'T' || c_custkey, 'non_adoption', 'task ' || c_custkey || ' a rush tried stopped using why' FROM customer""")
+def followup_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none, k = F.lit(None).cast("string"), F.col("c_custkey").cast("string")
+    told = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("T"), k).alias("task_family_id"), F.concat(F.lit("OBS-"), k).alias("observation_id"), F.concat(F.lit("task "), k).alias("task"), F.col("c_mktsegment").alias("need"),
+        none.alias("artifact"), F.lit(" a  rush").alias("trigger"), none.alias("current_workaround"), none.alias("desired_outcome"), F.lit(None).cast("array<string>").alias("query_terms"), F.lit("en").alias("language"),
+    )
+    worse = told.withColumns({"observation_id": F.lit("OBS-0"), "trigger": none})  # says less, so it doesn't speak for the family
+    return discovery.followups(told.union(worse)).select("task_family_id", "purpose", "query")
+
+
+@query("""
+WITH p AS (
+  SELECT n_name, n_regionkey, ((row_number() OVER (ORDER BY n_name) - 1 - (date_diff('day', DATE '0001-01-01', DATE '2024-01-15') + 1) % (SELECT count(*) FROM nation)) % (SELECT count(*) FROM nation) + (SELECT count(*) FROM nation)) % (SELECT count(*) FROM nation) AS place FROM nation),
+f AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY place) = 1 AS leads FROM p)
+SELECT n_name AS task_family_id FROM f ORDER BY leads DESC, place LIMIT 8""")
+def broad_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight families, as the operator is asked for: the first of each region in the day's order, then the others."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("task_family_id"), F.array(F.col("n_regionkey").cast("string")).alias("industry_ids"), F.array(F.lit("en")).alias("languages"))
+    return spark.createDataFrame([(f,) for f in discovery.broad_families(rows, date(2024, 1, 15))], "task_family_id string")
+
+
+@query("""
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT source, n + 1 AS n, 'stated' AS side FROM c WHERE source LIKE '%3' UNION ALL SELECT source, n, 'computed' FROM c WHERE source LIKE '%3'""")
+def report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    computed = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    stated = computed.select("source", F.when(F.col("source").endswith("3"), F.col("n") + 1).otherwise(F.col("n")).alias("n"))
+    return publish.report_differences(stated, computed)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import (
+    audit,
     langid,
     license_scan,
     media,
@@ -18,7 +19,7 @@ from lodestone.llm import (
     toolcalls,
     warc,
 )
-from lodestone.llm.common import new_path
+from lodestone.llm.common import new_path, words
 
 #: The language model learns from keys of the other remainders (fixed value).
 FOLDS, HELD_OUT = 4, 2
@@ -114,6 +115,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters: A few words, B few distinct words, C upper case, D symbols, E a lesser id's text."""
+    text, w = F.coalesce("text", F.lit("")), words(F.col("text"))
+    filters = {
+        "A": F.size(w) < 200,
+        "B": 100 * F.size(F.array_distinct(w)) < 50 * F.size(w),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text),
+        "D": text.rlike(r"[#$%&*|]"),
+    }
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters, "E")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,6 +140,7 @@ QUERIES = {
         op8_tool_calls,
         op9_media_chunks,
         op10_mixing,
+        op13_filter_audit,
     )
 }
 
@@ -161,6 +175,39 @@ m AS (
     ('0x' || substr(md5('20:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) * size)::BIGINT AS taken FROM m
+""",
+    "op13_filter_audit": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.letter || b.letter || c.letter || e.letter || g.letter AS filter_order, [a.bit, b.bit, c.bit, e.bit, g.bit] AS bits
+  FROM x a, x b, x c, x e, x g
+  WHERE a.bit | b.bit | c.bit | e.bit | g.bit = 31),
+s AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, list_sum(bits[1:step]) - bits[step] AS before
+  FROM o, range(1, 6) AS r(step)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+r AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
 """,
     "op8_tool_calls": """
 WITH users AS (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import (
     audit,
     langid,
+    lexical,
     license_scan,
     media,
     mixing,
@@ -115,6 +116,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters: A few words, B few distinct words, C upper case, D symbols, E a lesser id's text."""
     text, w = F.coalesce("text", F.lit("")), words(F.col("text"))
@@ -140,11 +145,13 @@ QUERIES = {
         op8_tool_calls,
         op9_media_chunks,
         op10_mixing,
+        op12_lexical_search,
         op13_filter_audit,
     )
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE: dict[str, str] = {
     "op2_warc": """
@@ -175,6 +182,26 @@ m AS (
     ('0x' || substr(md5('20:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) * size)::BIGINT AS taken FROM m
+""",
+    "op12_lexical_search": rf"""
+WITH words AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)),
+tf AS (SELECT doc_id, row, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, row, term),
+size AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM size),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), total),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+  FROM benchmark),
+scores AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM items JOIN tf USING (term) JOIN w USING (term) JOIN size USING (row), total GROUP BY item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
 """,
     "op13_filter_audit": rf"""
 WITH d AS (

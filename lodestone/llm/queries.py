@@ -11,6 +11,7 @@ from lodestone.llm import (
     langid,
     lexical,
     license_scan,
+    maxent,
     media,
     mixing,
     packing,
@@ -24,6 +25,8 @@ from lodestone.llm.common import new_path, words
 
 #: The language model learns from keys of the other remainders (fixed value).
 FOLDS, HELD_OUT = 4, 2
+#: So does the model of words, of seven (fixed value).
+LM_FOLDS = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +119,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS == HELD_OUT
+    return maxent.scored(table(spark, sf_dir, "documents"), held)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -145,6 +153,7 @@ QUERIES = {
         op8_tool_calls,
         op9_media_chunks,
         op10_mixing,
+        op11_lm_scores,
         op12_lexical_search,
         op13_filter_audit,
     )

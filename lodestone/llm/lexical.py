@@ -99,10 +99,6 @@ class Shard:
     summary_starts: np.ndarray
 
 
-#: The columns of a stored shard, and how their numbers are spelled.
-SPELLED = {c: "<i8" if c == "keys" or c.endswith("_starts") else "?" if c == "known" else "<i4" for c in Shard.__dataclass_fields__}
-
-
 def _clusters(members: np.ndarray, shape: np.ndarray, block: int, rng: np.random.Generator) -> list[np.ndarray]:
     """A list's documents by the most similar of some pivots among them."""
     if len(members) <= block:
@@ -123,6 +119,7 @@ def built(keys: np.ndarray, known: np.ndarray, starts: np.ndarray, at: np.ndarra
     for k in range(0, docs, 1024):
         a, b = starts[k], starts[min(k + 1024, docs)]
         shape[k : k + 1024] = np.add.reduceat(axes[at[a:b]] * x[a:b, None].astype(np.float32), starts[k : min(k + 1024, docs)] - a)
+    x = x.astype(np.int32)
     shape /= np.maximum(np.linalg.norm(shape, axis=1, keepdims=True), 1e-9)
     df = np.bincount(at, minlength=width)
     common = np.flatnonzero(df > max(block, share * docs))
@@ -137,17 +134,16 @@ def built(keys: np.ndarray, known: np.ndarray, starts: np.ndarray, at: np.ndarra
     members_starts = np.cumsum([0, *map(len, blocks)])
     members = np.concatenate(blocks)
     # Coordinatewise maxima, some blocks at a time, so that little is laid out at once.
-    summaries, k = [], 0
-    while k < len(blocks):
-        last = max(k + 1, int(np.searchsorted(members_starts, members_starts[k] + 8192, "right")) - 1)
-        rows = members[members_starts[k] : members_starts[last]]
+    summaries, most = [], max(1, (1 << 20) // width)
+    for k in range(0, len(blocks), most):
+        own_starts = members_starts[k : k + most + 1]
+        rows = members[own_starts[0] : own_starts[-1]]
         spots, _ = _flat(starts, rows)
-        block_of = np.repeat(np.repeat(np.arange(last - k), np.diff(members_starts[k : last + 1])), starts[rows + 1] - starts[rows])
-        cell = block_of * width + at[spots]
-        by = np.argsort(cell, kind="stable")
-        cell, first = np.unique(cell[by], return_index=True)
-        summaries.append((cell % width, np.maximum.reduceat(x[spots][by], first), np.bincount(cell // width, minlength=last - k)))
-        k = last
+        block_of = np.repeat(np.repeat(np.arange(len(own_starts) - 1), np.diff(own_starts)), starts[rows + 1] - starts[rows])
+        maxima = np.zeros((len(own_starts) - 1, width), np.int32)
+        np.maximum.at(maxima.reshape(-1), block_of * width + at[spots], x[spots])
+        row, column = maxima.nonzero()
+        summaries.append((column.astype(np.int32), maxima[row, column], np.bincount(row, minlength=len(maxima))))
     sizes = np.concatenate([s for _, _, s in summaries])
     return Shard(
         keys, known, at, x, starts, common, np.append(own, -1), np.array(lists_starts), members, members_starts,
@@ -217,22 +213,27 @@ def searched(shard: Shard, queries: Queries, width: int, k: int) -> Iterator[tup
             yield number, docs, scores
 
 
-def _indexed(width: int, documents: int, total: int, shard_docs: int, block: int, share: float):
-    """Documents of ``_forward`` to shards of at most ``shard_docs``."""
+def _ranked(shared, width: int, documents: int, total: int, shard_docs: int, block: int, share: float, k: int):
+    """Documents of ``_forward``, as shards of at most ``shard_docs``, to the best of each for each query."""
 
-    def shard_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def shard_of(held: list[pa.RecordBatch]) -> Shard:
         rows = pa.Table.from_batches(held)
         at = [np.frombuffer(v, "<i4") for v in rows.column("terms").to_pylist()]
         tf = np.concatenate([np.frombuffer(v, "<i4") for v in rows.column("tfs").to_pylist()]).astype(np.int64)
         sizes = np.array([len(v) for v in at])
         n = np.repeat(rows.column("n").to_numpy(), sizes)
         keys = rows.column("key")
-        shard = built(
+        return built(
             keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(), np.append(0, np.cumsum(sizes)),
             np.concatenate(at).astype(np.int64), impacts(tf, n, documents, total), width, block, share,
         )
-        spelled = [pa.array([getattr(shard, c).astype(kind).tobytes()], pa.binary()) for c, kind in SPELLED.items()]
-        return pa.RecordBatch.from_arrays(spelled, names=list(SPELLED))
+
+    def answers(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = shard_of(held)
+        for number, docs, scores in searched(shard, shared.value, width, k):
+            keys = pa.array(shard.keys[docs], mask=~shard.known[docs])
+            columns = [pa.array(np.full(len(docs), number, np.int32)), keys, pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -242,26 +243,10 @@ def _indexed(width: int, documents: int, total: int, shard_docs: int, block: int
                 held.append(batch.slice(0, room))
                 batch, room = batch.slice(room), room - held[-1].num_rows
                 if not room:
-                    yield shard_of(held)
+                    yield from answers(held)
                     held, room = [], shard_docs
         if held:
-            yield shard_of(held)
-
-    return run
-
-
-def _ranked(shared, width: int, k: int):
-    """Stored shards to the best documents of each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                read = {c: np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in SPELLED.items()}
-                shard = Shard(**{c: v if c == "known" else v.astype(np.int64) for c, v in read.items()})
-                for number, docs, scores in searched(shard, shared.value, width, k):
-                    keys = pa.array(shard.keys[docs], mask=~shard.known[docs])
-                    columns = [pa.array(np.full(len(docs), number, np.int32)), keys, pa.array(scores)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query", "doc_id", "score"])
+            yield from answers(held)
 
     return run
 
@@ -271,19 +256,15 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def index(docs: DataFrame, wanted: list[bytes], key: str, text: str, shard_docs: int, block: int, share: float) -> tuple[DataFrame, list[int]]:
-    """The stored shards of ``docs`` for some terms, and those terms' weights over all documents."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
+def forward(docs: DataFrame, wanted: list[bytes], key: str, text: str) -> tuple[DataFrame, int, int, list[int]]:
+    """What each document of any term has of the ``wanted`` ones, written; documents, all their terms, and weights."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
     rows = spread(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = materialise(rows.mapInArrow(_forward(shared), "key long, n long, terms binary, tfs binary"), "forward").where("n > 0")
     documents, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     counts = rows.select("terms").mapInArrow(_frequencies(len(wanted)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = dict.fromkeys(range(len(wanted)), 0) | {r.term: r.df for r in counts.collect()}  # a row per wanted term at most
-    weights = [weight(documents, df[i]) for i in range(len(wanted))]
-    found = rows.where(F.octet_length("terms") > 0)
-    schema = ", ".join(f"{c} binary" for c in SPELLED)
-    return materialise(found.mapInArrow(_indexed(len(wanted), documents, total, shard_docs, block, share), schema), "shards"), weights
+    return rows.where(F.octet_length("terms") > 0), documents, total, [weight(documents, df[i]) for i in range(len(wanted))]
 
 
 def search(
@@ -294,9 +275,9 @@ def search(
     item: str = "item_id",
     item_text: str = "text",
     k: int = 10,
-    shard_docs: int = 16_384,
+    shard_docs: int = 4096,
     block: int = 32,
-    share: float = 0.125,
+    share: float = 1 / 32,
     at_once: int = 10_000,
 ) -> DataFrame:
     """(item, rank, doc_id, score): the ``k`` highest-scoring documents of each row of ``items``.
@@ -304,9 +285,10 @@ def search(
     Tasks index the documents they read as shards of at most ``shard_docs``, so no posting list
     is shuffled and a term in every document loads no task more than another. In a shard each
     term's list is clustered around pivots by similarity into blocks of about ``block``, which
-    store the coordinatewise maximum of their documents; terms in over ``share`` of a shard's
-    documents share one such list, of all of them. A sixteenth of the shards is searched first:
-    what its k-th best documents score has to be beaten in the others. Results are exact.
+    hold the coordinatewise maximum of their documents; terms in over ``share`` of a shard's
+    documents share one such list, of all of them. A shard is searched where it was made, as
+    its blocks take more room than its documents. A sixteenth of the documents goes first: what
+    the k-th best of them scores has to be beaten by the others. Results are exact.
 
     Only terms of the queries are indexed, as others add nothing; queries come ``at_once``
     at a time, each lot with an index of its own. Null texts and items have no terms; items with
@@ -319,17 +301,21 @@ def search(
     def answered(lot: list[tuple]) -> DataFrame:
         asked = [sorted(set(terms((t or "").encode()))) for _, t in lot]
         wanted = sorted({t for a in asked for t in a})
-        shards, weights = index(docs, wanted, key, text, shard_docs, block, share)
+        rows, documents, total, weights = forward(docs, wanted, key, text)
         place = {t: i for i, t in enumerate(wanted)}
         at = [np.array([place[t] for t in a], np.int64) for a in asked]
         w = [np.array(weights, np.int64)[x] for x in at]
-        rows = lambda part, least: part.mapInArrow(_ranked(spark.sparkContext.broadcast(Queries(at, w, least)), len(wanted), k), "query int, doc_id long, score long")
-        first = F.pmod(F.xxhash64("keys", "known"), F.lit(16)) == 0
         least = np.zeros(len(lot), np.int64)
-        sample = materialise(_best(rows(shards.where(first), least), k), "first")
+
+        def ranked(part: DataFrame) -> DataFrame:
+            shared = spark.sparkContext.broadcast(Queries(at, w, least.copy()))
+            return part.mapInArrow(_ranked(shared, len(wanted), documents, total, shard_docs, block, share, k), "query int, doc_id long, score long")
+
+        first = F.pmod(F.xxhash64("key", "terms"), F.lit(16)) == 0
+        sample = materialise(_best(ranked(rows.where(first)), k), "first")
         for r in sample.where(F.col("rank") == k).collect():  # a number per query at most
             least[r["query"]] = r.score
-        best = _best(sample.drop("rank").union(rows(shards.where(~first), least)), k)
+        best = _best(sample.drop("rank").union(ranked(rows.where(~first))), k)
         names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lot)], StructType(schema.fields[:2]))
         return best.join(F.broadcast(names), "query").select(item, "rank", "doc_id", "score")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import packets
+from lodestone.operators import packets, reading
 from lodestone.plans.queries import moment, query, table
 
 POLICY = packets.POLICY
@@ -101,3 +101,37 @@ def claim_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), supplier.alias("id"), F.col("s_suppkey").alias("position"), F.to_json(F.struct(supplier.alias("experiment_id"), F.col("s_name").alias("name"))).alias("json"))
     before = shown.where("p_brand = 'Brand#7'").groupBy("nation").agg(F.count("*").alias("evidence_superseded")).join(lines.where("future").groupBy("nation").agg(F.count_distinct("o_orderkey").alias("claims_future")), "nation", "full").na.fill(0)
     return packets.packets(evidence, claims, tests, ["nation"], "2001-01-01", "tables", before, MOST_ITEMS, MOST_CHARS)
+
+
+ROLES = (("quality = 1", "workflow_pain"), ("quality = 0 AND toxic = 0", "official_pricing"), ("toxic = 1", "counter_evidence"))
+ROLE = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in ROLES) + " ELSE 'discovery' END"
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+  SELECT lang, doc_id, list_sort(list_distinct([source, CASE WHEN n_chars > 4000 THEN 'long' ELSE 'short' END])) AS own, [CASE WHEN contains(coalesce(text, ''), chr(10)) THEN 'lines' ELSE 'line' END] AS tasks,
+    source, {ROLE} AS role, CASE WHEN quality = 1 THEN 'behavior' WHEN toxic = 1 THEN 'challenge' WHEN quality = 0 THEN 'commercial' ELSE 'unknown' END AS roles,
+    CASE WHEN toxic = 1 THEN 3 WHEN n_chars < 100 THEN 2 WHEN quality = 1 THEN 0 ELSE 1 END AS grade
+  FROM documents LEFT JOIN labels USING (doc_id)),
+f AS (
+  SELECT lang, 0 AS position, []::BIGINT[] AS ids, []::VARCHAR[] AS i, []::VARCHAR[] AS g, []::VARCHAR[] AS t, []::VARCHAR[] AS s, []::VARCHAR[] AS r FROM (SELECT DISTINCT lang FROM documents) UNION ALL
+  SELECT lang, position + 1, list_append(ids, x.doc_id), i || x.own, list_append(g, x.roles), t || x.tasks, list_append(s, x.source), list_append(r, x.role)
+  FROM (
+    SELECT f.lang, position, ids, i, g, t, s, r, arg_min({{'doc_id': doc_id, 'own': own, 'roles': roles, 'tasks': tasks, 'source': source, 'role': role}}, (
+      grade >= 2, list_min(list_transform(own, lambda o: len(list_filter(i, lambda z: z = o)))), len(list_filter(g, lambda z: z = roles)), list_min(list_transform(tasks, lambda o: len(list_filter(t, lambda z: z = o)))),
+      len(list_filter(s, lambda z: z = source)), len(list_filter(r, lambda z: z = role)), grade, doc_id)) AS x
+    FROM f JOIN c ON c.lang IS NOT DISTINCT FROM f.lang WHERE position < 15 AND NOT list_contains(ids, doc_id) GROUP BY ALL))
+SELECT lang, ids[position] AS doc_id, position::INT AS position FROM f WHERE position > 0""")
+def fair_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifteen documents to read of each language, by turns of source, length, label and form."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    role = F.lit("discovery")
+    for condition, name in reversed(ROLES):
+        role = F.when(F.expr(condition), name).otherwise(role)
+    semantic = F.when(F.col("quality") == 1, "relevant").when(F.col("toxic") == 1, "unrelated")
+    rows = docs.select(
+        "lang", "doc_id", "source", role.alias("evidence_role"), F.array("source", F.when(F.col("n_chars") > 4000, "long").otherwise("short")).alias("industry_ids"),
+        F.array(F.when(F.coalesce("text", F.lit("")).contains("\n"), "lines").otherwise("line")).alias("task_family_ids"),
+        reading.quality(semantic, F.col("toxic") == 1, F.when(F.col("n_chars") < 100, "unrelated")).alias("quality"),
+    )
+    return reading.fair_order(rows, 15, ["lang"], "doc_id").select("lang", "doc_id", "position")

@@ -20,8 +20,10 @@ def completed(log: DataFrame) -> DataFrame:
 
 
 def appended(log: DataFrame, batch: DataFrame, key: str = "event_id") -> DataFrame:
-    """The log after a batch: events that it has are not added again."""
-    new = batch.dropDuplicates([key]).join(log.select(key), key, "left_anti")
+    """The log after a batch: events that it has are not added again. Events without a key are one event."""
+    held = log.select(F.col(key).alias("_held"))
+    new = batch.dropDuplicates([key])
+    new = new.join(held, new[key].eqNullSafe(held["_held"]), "left_anti")
     return log.unionByName(new, allowMissingColumns=True)
 
 
@@ -30,12 +32,17 @@ def distinct_events(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicates([key])
 
 
-def future_events(batch: DataFrame, cutoff: Column, clocks: list[str]) -> DataFrame:
-    """Rows with any clock after ``cutoff``, for quarantine; a strict ingest takes none of the batch."""
+def is_future(cutoff: Column, clocks: list[str]) -> Column:
+    """Whether any clock of a row is after ``cutoff``."""
     late = F.lit(False)
     for c in clocks:
         late = late | F.coalesce(F.col(c) > cutoff, F.lit(False))
-    return batch.where(late)
+    return late
+
+
+def future_events(batch: DataFrame, cutoff: Column, clocks: list[str]) -> DataFrame:
+    """Rows with any clock after ``cutoff``, for quarantine; a strict ingest takes none of the batch."""
+    return batch.where(is_future(cutoff, clocks))
 
 
 def revision_conflicts(log: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import packets, reading
+from lodestone.operators import graphs, packets, reading
 from lodestone.plans.queries import moment, query, table
 
 POLICY = packets.POLICY
@@ -135,3 +135,29 @@ def fair_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
         reading.quality(semantic, F.col("toxic") == 1, F.when(F.col("n_chars") < 100, "unrelated")).alias("quality"),
     )
     return reading.fair_order(rows, 15, ["lang"], "doc_id").select("lang", "doc_id", "position")
+
+
+FIRST_LAST = "SELECT doc_id, unnest(list_distinct(['first:' || l[1], 'last:' || l[-1]])) AS key FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')"
+
+
+@query(f"""
+WITH RECURSIVE k AS ({FIRST_LAST}), e AS (SELECT DISTINCT a.doc_id AS a, b.b FROM k a JOIN (SELECT key, min(doc_id) AS b FROM k GROUP BY key) b USING (key)),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM (SELECT DISTINCT doc_id FROM k) UNION SELECT r.a, pairs.b FROM r JOIN pairs ON pairs.a = r.b)
+SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""")
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin or end with the same line, directly or by way of others."""
+    lines = F.split("text", "\n")
+    keys = F.array_distinct(F.array(F.concat(F.lit("first:"), F.element_at(lines, 1)), F.concat(F.lit("last:"), F.element_at(lines, -1))))
+    rows = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.explode(keys).alias("key"))
+    return graphs.groups(rows, "doc_id", "key")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages)
+SELECT page_id, min(page_id) OVER (PARTITION BY host) AS source_group FROM p""")
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by independent source: none names a publisher, so their hosts stand for them."""
+    none = F.lit(None).cast("string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", none.alias("original_url"), none.alias("original_publisher"), F.lit(False).alias("retracted"), none.alias("status"))
+    return graphs.independent_sources(pages, "page_id")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import new_path
 from lodestone.operators import graphs, packets, reading
-from lodestone.plans.queries import moment, query, table
+from lodestone.plans.queries import ORACLE, moment, query, table
+from lodestone.sources.fulltext import FullTextIndex
 
 POLICY = packets.POLICY
 MOST_ITEMS, MOST_CHARS = 30, 18_000
@@ -161,3 +163,15 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", none.alias("original_url"), none.alias("original_publisher"), F.lit(False).alias("retracted"), none.alias("status"))
     return graphs.independent_sources(pages, "page_id")
+
+
+@query(ORACLE["bm25_match"])
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_match`` from a stored index, to which documents were added in three lots by source, the last with all again, and merged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    index = FullTextIndex(spark, new_path(spark, "index"), ["doc_id"])
+    middle = docs.agg(F.percentile_approx(F.crc32("source"), 0.5)).first()[0]
+    for lot in (docs.where(F.crc32("source") < middle), docs.where(F.crc32("source") >= middle), docs):
+        index.add(lot, "text")
+    index.merge(2)
+    return index.search(["the", "license"]).select("doc_id", F.round("score", 6).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,9 +116,23 @@ def identity_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, r"(?U)[^\w㐀-鿿]+", " "))
 
 
+@cache
+def single_forms() -> tuple[str, str]:
+    """Characters that NFKC makes another single character, and those: full-width letters, circled digits and the like."""
+    found = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0x80, 0xD800), *range(0xE000, 0x30000))]
+    found = [(a, b) for a, b in found if len(b) == 1 and a != b]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
 def fold(text: Column) -> Column:
-    """``identity_text`` without NFKC, for use on array elements, where no Python function can run."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w㐀-鿿]+", " "))
+    """``identity_text`` for use on array elements, where no Python function can run.
+
+    NFKC is that of single characters: what it makes several characters of (ligatures, fractions),
+    and marks that it joins with letters, stay as they are.
+    """
+    t = F.coalesce(text, F.lit(""))
+    narrow = F.when(t.rlike(ASCII_ONLY), t).otherwise(F.translate(t, *single_forms()))
+    return F.trim(F.regexp_replace(F.lower(narrow), r"(?U)[^\w㐀-鿿]+", " "))
 
 
 @F.pandas_udf(StringType())

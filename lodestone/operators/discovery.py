@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,27 +106,87 @@ def affordable(requests: DataFrame, prices: DataFrame, limit: Decimal, most: int
     return rows.withColumn("decision", decision).drop("_nth", "accepted")
 
 
+#: Tasks of a group that are cut into batches at once.
+STRETCH = 16_384
+
+
+def _starts(sizes: np.ndarray, max_items: int, room: int) -> np.ndarray:
+    """Of each place, where the batch after the one that begins there begins: a search in running sums."""
+    sums = np.append(0, np.cumsum(sizes))
+    here = np.arange(len(sizes))
+    fits = np.searchsorted(sums, sums[:-1] + room, "right") - 1
+    return np.clip(fits, here + 1, here + max_items)
+
+
 def review_batches(tasks: DataFrame, group: str, order: list[str], size: str, max_items: int = 16, max_chars: int = 18000, overhead: int = 1000) -> DataFrame:
     """``tasks`` with the number of their batch within the group: a batch ends before it overflows.
 
-    Groups are folded as a stream, with two numbers carried.
-    """
+    In order, a task joins the batch unless that has ``max_items``, or would have over
+    ``max_chars`` with an ``overhead`` of its own; a task too large for any batch has one to
+    itself. Sizes are not negative, and null ones are 0. Null groups are a group.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, number, n, used = object(), 0, 0, overhead
+    Where a batch begins depends on all before it, but the batches that a stretch of tasks makes
+    only on which of its first ``max_items`` begins one. So many tasks each find, for their stretch,
+    where each such beginning leads in the next one and by how many batches; these few rows by
+    stretch are followed in order; then each stretch is numbered by itself. No task of Spark has
+    more than a stretch, however large a group.
+    """
+    length = max(STRETCH, max_items)
+    places = materialise(numbered_within(tasks, [group], order, "_no"), "places")
+    stretch = F.floor((F.col("_no") - 1) / length).cast("long")
+    early = F.when((F.col("_no") - 1) % length < max_items, F.when(stretch > 0, stretch - 1))
+    slim = places.select(F.col(group).alias("g"), "_no", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"), F.explode(F.array_compact(F.array(stretch, early))).alias("s"))
+    slim = materialise(slim.withColumn("own", F.floor((F.col("_no") - 1) / length) == F.col("s")), "stretches")
+    room = max_chars - overhead
+    kind = slim.schema["g"].dataType.simpleString()
+
+    def leads(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_no")
+        own = int(frame["own"].sum())
+        to = _starts(frame["n"].to_numpy(), max_items, room)
+        end, count = np.empty(own, np.int64), np.empty(own, np.int64)
+        for i in range(own - 1, -1, -1):
+            j = to[i]
+            end[i], count[i] = (j - own, 1) if j >= own else (end[j], count[j] + 1)
+        first = np.arange(min(max_items, own))
+        return pd.DataFrame({"g": [frame["g"].iloc[0]] * len(first), "s": frame["s"].iloc[0], "first": first, "leads_to": end[: len(first)], "batches": count[: len(first)]})
+
+    found = materialise(slim.groupBy("g", "s").applyInPandas(leads, f"g {kind}, s long, first long, leads_to long, batches long"), "leads")
+
+    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, first, before, following = object(), 0, 0, (0, 0)
         for frame in batches:
             out = []
-            for key, chars in zip(frame[group], frame[size], strict=True):
-                if key != now:
-                    now, number, n, used = key, 1, 0, overhead
-                if n and (n >= max_items or used + chars > max_chars):
-                    number, n, used = number + 1, 0, overhead
-                n, used = n + 1, used + chars
-                out.append(number)
-            yield frame.assign(batch=out)
-
-    schema = tasks.withColumn("batch", F.lit(1).cast("long")).schema
-    return tasks.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+            for key, none, s, f, to, n in zip(frame["g"], frame["none"], frame["s"], frame["first"], frame["leads_to"], frame["batches"], strict=True):
+                own = (none, None if none else key)
+                if own != now:
+                    now, following = own, (0, 0)
+                if f == 0:  # every stretch has that row, first
+                    first, before = following
+                    out.append((None if none else key, s, first, before))
+                if f == first:
+                    following = (to, before + n)
+            yield pd.DataFrame(out, columns=["g", "s", "first", "before"])
+
+    in_order = found.withColumn("none", F.col("g").isNull()).repartition("g").sortWithinPartitions("g", "s", "first")
+    entries = materialise(in_order.mapInPandas(followed, f"g {kind}, s long, first long, before long"), "entries")
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_no")
+        own = int(frame["own"].sum())
+        to = _starts(frame["n"].to_numpy(), max_items, room)
+        begins, i = np.zeros(own, np.int64), int(frame["first"].iloc[0])
+        while i < own:
+            begins[i] = 1
+            i = to[i]
+        frame = frame.iloc[:own]
+        return pd.DataFrame({"g": frame["g"], "_no": frame["_no"], "batch": frame["before"] + np.cumsum(begins)})
+
+    e = entries.select(F.col("g").alias("_g"), F.col("s").alias("_s"), "first", "before")
+    rows = slim.join(e, slim.g.eqNullSafe(e["_g"]) & (slim.s == e["_s"])).select("g", "s", "_no", "n", "own", "first", "before")
+    numbers = materialise(rows.groupBy("g", "s").applyInPandas(cut, f"g {kind}, _no long, batch long"), "batches")
+    numbers = numbers.select(F.col("g").alias("_g"), F.col("_no").alias("_n"), "batch")
+    return places.join(numbers, places[group].eqNullSafe(numbers["_g"]) & (places["_no"] == numbers["_n"])).select(*tasks.columns, "batch")
 
 
 def candidate_key(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.shared import new_path
-from lodestone.operators import graphs, packets, reading
+from lodestone.operators import discovery, graphs, packets, reading
 from lodestone.plans.queries import ORACLE, moment, query, table
 from lodestone.sources.fulltext import FullTextIndex
 
@@ -175,3 +175,15 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.add(lot, "text")
     index.merge(2)
     return index.search(["the", "license"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+f AS (
+  SELECT lang, doc_id, i, 1::BIGINT AS batch, 1 AS n, 1000 + n_chars AS used FROM t WHERE i = 1 UNION ALL
+  SELECT lang, doc_id, i, batch + ends::BIGINT, CASE WHEN ends THEN 1 ELSE n + 1 END, CASE WHEN ends THEN 1000 + x ELSE used + x END
+  FROM (SELECT f.lang, t.doc_id, t.i, batch, n, used, n_chars AS x, n >= 16 OR used + n_chars > 18000 AS ends FROM f JOIN t ON t.lang IS NOT DISTINCT FROM f.lang AND t.i = f.i + 1))
+SELECT doc_id, batch FROM f""")
+def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language in batches to review, by what a reader can take at once."""
+    return discovery.review_batches(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", ["doc_id"], "n_chars").select("doc_id", "batch")

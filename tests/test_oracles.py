@@ -5,9 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import evidence_queries, funnel_queries, more_queries, packet_queries, queries, stream_queries
+from lodestone.plans import evidence_queries, funnel_queries, more_queries, packet_queries, queries, reach_queries, stream_queries
 
-assert more_queries.query is evidence_queries.query is packet_queries.query is stream_queries.query is funnel_queries.query is queries.query
+assert more_queries.query is evidence_queries.query is packet_queries.query is stream_queries.query is funnel_queries.query is reach_queries.query is queries.query
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no tables here")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import times
+from lodestone.functions import sql, times
 from lodestone.functions.shared import new_path
+from lodestone.functions.text import STOP_WORDS
 from lodestone.operators import claims, ledger, needs, publish, quality, rules, state
-from lodestone.plans.queries import WEAK, query, table
+from lodestone.plans.operator_queries import STRONG
+from lodestone.plans.queries import WEAK, query, quoted, table
 from lodestone.sources import comments, readers
 from lodestone.streaming import ingest
 
@@ -177,3 +179,22 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     zoned = F.when(F.col("o_orderstatus") == "F", F.concat(text, F.lit("Z"))).when(F.col("o_orderstatus") == "O", F.concat(text, F.lit("+02:00"))).otherwise(text)
     written = F.when(F.col("o_orderpriority") == "5-LOW", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(zoned)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(times.instant(written)).alias("at"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, replace(lower(coalesce(text, '')), 'ß', 'ss') AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{M}\p{N}]+')) AS term FROM d)
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS times FROM w WHERE term NOT IN (""" + quoted(STOP_WORDS) + """) GROUP BY term""")
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all documents, by a query in SQL alone."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("lodestone_documents")
+    return spark.sql("SELECT term, count(*) AS documents, sum(n) AS times FROM lodestone_documents, LATERAL evidence_tokens(text, true) GROUP BY term")
+
+
+@query(rf"SELECT url, count(*) AS pages FROM ({STRONG}) GROUP BY url")
+def sql_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by canonical address, by a query in SQL alone."""
+    sql.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("lodestone_pages")
+    return spark.sql("SELECT nfkc(canonical_url(url)) AS url, count(*) AS pages FROM lodestone_pages GROUP BY 1")

@@ -11,7 +11,7 @@ from lodestone.functions.text import STOP_WORDS
 from lodestone.operators import claims, ledger, needs, publish, quality, rules, state
 from lodestone.plans.operator_queries import STRONG
 from lodestone.plans.queries import WEAK, query, quoted, table
-from lodestone.sources import comments, readers
+from lodestone.sources import comments, readers, recorded
 from lodestone.streaming import ingest
 
 
@@ -198,3 +198,16 @@ def sql_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
     table(spark, sf_dir, "pages").createOrReplaceTempView("lodestone_pages")
     return spark.sql("SELECT nfkc(canonical_url(url)) AS url, count(*) AS pages FROM lodestone_pages GROUP BY 1")
+
+
+@query("SELECT lang AS source, count(*) AS responses, sum(n_chars)::BIGINT AS chars, sum(length(coalesce(text, '')))::BIGINT AS characters FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
+def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents recorded as responses of their language, written as JSON lines and read by the data source, two sources alone."""
+    path, docs = new_path(spark, "recorded"), table(spark, sf_dir, "documents")
+    response = F.struct("n_chars", F.coalesce("text", F.lit("")).alias("text"))
+    line = F.struct(F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("request_id"), F.lit("2026-07-14").alias("observed_at"), response.alias("response"))
+    docs.select(F.to_json(line).alias("value")).write.text(path)
+    recorded.register(spark)
+    found = spark.read.format("recorded_responses").option("path", path).option("split", 1 << 20).load().where(F.col("source").isin("en", "de"))
+    value = F.from_json("response", "n_chars long, text string")
+    return found.groupBy("source").agg(F.count("*").alias("responses"), F.sum(value["n_chars"]).alias("chars"), F.sum(F.length(value["text"])).cast("long").alias("characters"))

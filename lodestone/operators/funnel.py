@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import fingerprint
+from lodestone.functions.shared import materialise
 from lodestone.functions.text import fold, identity_text, present
 from lodestone.functions.urls import evidence_url, source_key
 from lodestone.operators.ranks import numbered_within
@@ -197,15 +200,21 @@ def axis(values: Column) -> Column:
 def expanded(benchmarks: DataFrame, limit: int = 200, scans: int = 5000) -> DataFrame:
     """Candidates of all combinations of six axes (array columns), dealt in turns over benchmarks.
 
-    Axes lose repeats first. A combination's number spells its place on each axis, so those past
-    the scan budget are never made: a benchmark makes at most ``scans`` rows. Turn by turn, each
-    benchmark (by ``pos``) gives its next; the first ``limit`` distinct candidates stay.
+    Axes lose repeats first. Turn by turn, each benchmark (by ``pos``) gives its next combination,
+    ``scans`` in all; the first ``limit`` distinct candidates stay. A combination's number spells
+    its place on each axis, so those past the budget are never made. Every benchmark gives at
+    least one, so only the first ``scans`` of them matter; their numbers of combinations, that many
+    at the most, say how many turns the budget lasts. So about as many rows are made as are
+    scanned, whatever the number of benchmarks, and identifiers only of those.
     """
-    rows = benchmarks.withColumns({a: F.when(F.size(axis(F.col(a))) > 0, axis(F.col(a))).otherwise(F.array(F.lit(None).cast("string"))) for a in AXES})
+    rows = benchmarks.orderBy("pos").limit(scans).withColumns({a: F.when(F.size(axis(F.col(a))) > 0, axis(F.col(a))).otherwise(F.array(F.lit(None).cast("string"))) for a in AXES})
     total = F.lit(1).cast("long")
     for a in AXES:
         total = total * F.size(a)
-    rows = rows.withColumn("_total", total).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_total"), F.lit(scans)) - 1)))
+    rows = materialise(rows.withColumn("_total", F.least(total, F.lit(scans))), "benchmarks")
+    totals = [r[0] for r in rows.select("_total").collect()]
+    turns = bisect_left(range(scans), scans, key=lambda t: sum(min(n, t) for n in totals))
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_total"), F.lit(turns)) - 1)))
     rest = F.col("turn")
     picks = {}
     for a in reversed(AXES):
@@ -214,8 +223,8 @@ def expanded(benchmarks: DataFrame, limit: int = 200, scans: int = 5000) -> Data
     rows = rows.withColumns(picks).drop(*AXES, "_total")
     names = [a.removesuffix("s") for a in AXES]
     key = F.concat(F.lit("CAND-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "benchmark_id", *[F.coalesce(identity_text(F.col(n)), F.lit("")) for n in names]), 256), 1, 10)))
-    budget = rows.withColumn("candidate_id", key).orderBy("turn", "pos").limit(scans)  # so the window has few rows
-    scanned = budget.withColumn("scan", F.row_number().over(Window.orderBy("turn", "pos")))
+    budget = rows.orderBy("turn", "pos").limit(scans)  # so the window has few rows
+    scanned = budget.withColumn("candidate_id", key).withColumn("scan", F.row_number().over(Window.orderBy("turn", "pos")))
     first = F.min("scan").over(Window.partitionBy("candidate_id"))
     return scanned.withColumn("_first", first).where("scan = _first").drop("_first").orderBy("scan").limit(limit)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranks import numbered_within
+
 
 def latest(rows: DataFrame, key: str, order: list[str], cutoff: Column | None = None, clock: str = "as_of") -> DataFrame:
     """The last row of each key by ``order`` as of a cutoff; later rows win ties by the last order column."""
@@ -37,11 +39,21 @@ def window_view(history: DataFrame, records: DataFrame, key: str, as_of: date, d
 def revision_chain(rows: DataFrame, key: str, order: list[str], content: str) -> DataFrame:
     """Revisions of evidence in a record: version, and what each supersedes.
 
-    Rows that repeat the content before them are no revision.
+    Rows that repeat the content before them are no revision. A record may hold most of the
+    rows: they are numbered by ranges, and each meets the one before it by a join on the record
+    and the number, so no task takes a whole record. Rows of a null key are one record; ``order``
+    should leave no ties.
     """
-    window = Window.partitionBy(key).orderBy(*order)
-    changed = rows.withColumn("_before", F.lag(content).over(window)).where(F.col("_before").isNull() | (F.col("_before") != F.col(content)))
-    return changed.withColumn("version", F.row_number().over(window)).withColumn("supersedes", F.lag("revision_id").over(window)).drop("_before")
+    at = numbered_within(rows, [key], order, "_n")
+    changed = _with_before(at, key, "_n", content, "_before").where(F.col("_before").isNull() | (F.col("_before") != F.col(content)))
+    versions = numbered_within(changed.drop("_before"), [key], ["_n"], "version").drop("_n")
+    return _with_before(versions, key, "version", "revision_id", "supersedes")
+
+
+def _with_before(numbered: DataFrame, key: str, n: str, value: str, out: str) -> DataFrame:
+    """``numbered`` with a column's value in the row of the number before; null for the first."""
+    before = numbered.select(F.col(key).alias("_k"), (F.col(n) + 1).alias("_m"), F.col(value).alias(out))
+    return numbered.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col(n) == F.col("_m")), "left").drop("_k", "_m")
 
 
 def health(events: DataFrame) -> DataFrame:

@@ -51,15 +51,14 @@ def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id)
-WHERE quality = 1 AND source = (SELECT min(source) FROM documents) AND contains(lower(substr(coalesce(text, ''), 1, 200)), 'the')""")
+WHERE quality = 1 AND lang = 'en' AND contains(lower(coalesce(text, '')), 'the')""")
 def public_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     items = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
-        "doc_id", F.when(F.col("quality") == 1, "published").otherwise("withheld").alias("status"), F.array("source").alias("industry_ids"), F.substring("text", 1, 200).alias("title"),
+        "doc_id", F.when(F.col("quality") == 1, "published").otherwise("withheld").alias("status"), F.array("source", "lang").alias("industry_ids"), F.col("text").alias("title"),
         *[F.lit(None).cast("string").alias(c) for c in ("target_user", "problem", "summary")],
     )
-    first = docs.agg(F.min("source")).first()[0]
-    return publish.matching(items, "published", first, "The").select("doc_id")
+    return publish.matching(items, "published", "en", "The").select("doc_id")
 
 
 VALUES = {0: "TBD later", 1: "  ", 2: "未知", 3: " said "}
@@ -78,15 +77,15 @@ def standing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT user_id, ts::DATE AS day, event_id, event_type FROM events WHERE user_id % 4 <> 0),
+WITH h AS (SELECT user_id, ts::DATE AS day, event_id, event_type FROM events),
 seen AS (SELECT user_id, arg_max(event_type, (day, event_id)) AS event_type FROM h WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY user_id),
-r AS (SELECT user_id, min(ts::DATE) AS day FROM events GROUP BY user_id)
-SELECT * FROM seen UNION ALL SELECT user_id, NULL FROM r WHERE user_id NOT IN (SELECT user_id FROM h) AND day <= DATE '2024-01-16'""")
+r AS (SELECT o_custkey AS user_id, min(o_orderdate::DATE) AS day FROM orders GROUP BY o_custkey)
+SELECT * FROM seen UNION ALL SELECT user_id, NULL FROM r WHERE NOT EXISTS (FROM h WHERE h.user_id = r.user_id) AND day <= DATE '2024-01-16'""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users by last event within a week; every fourth has no history, and shows as it is."""
+    """Users by last event within a week; customers with orders who never had an event show as they are."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type")
-    records = events.groupBy("user_id").agg(F.min("day").alias("day")).withColumns({"event_id": F.lit(None).cast("long"), "event_type": F.lit(None).cast("string")})
-    return state.window_view(events.where("user_id % 4 <> 0"), records, "user_id", date(2024, 1, 16), 7, "event_id").select("user_id", "event_type")
+    records = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min(F.to_date("o_orderdate")).alias("day")).withColumns({"event_id": F.lit(None).cast("long"), "event_type": F.lit(None).cast("string")})
+    return state.window_view(events, records, "user_id", date(2024, 1, 16), 7, "event_id").select("user_id", "event_type")
 
 
 @query(r"""
@@ -210,19 +209,19 @@ def upstream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (
-  SELECT r_regionkey AS pos, s, t, ch, ((si * 3 + ti) * 2 + ci) AS turn,
-    'CAND-' || upper(substr(sha256('BENCH-' || r_regionkey || '|' || lower(s) || '|' || t || '|form|' || lower(replace(r_name, '_', '_')) || '|' || ch || '|'), 1, 10)) AS candidate_id
-  FROM region, (VALUES (0, 'Small shops'), (1, 'x')) a(si, s), (VALUES (0, 't1'), (1, 't2'), (2, 't3')) b(ti, t), (VALUES (0, 'c1'), (1, 'c2')) d(ci, ch)),
+  SELECT n_nationkey AS pos, s, t, ch, ((si * 3 + ti) * 2 + ci) AS turn,
+    'CAND-' || upper(substr(sha256('BENCH-' || n_nationkey || '|' || lower(s) || '|' || t || '|form|' || lower(n_name) || '|' || ch || '|'), 1, 10)) AS candidate_id
+  FROM nation, (VALUES (0, 'Small shops'), (1, 'x')) a(si, s), (VALUES (0, 't1'), (1, 't2'), (2, 't3')) b(ti, t), (VALUES (0, 'c1'), (1, 'c2')) d(ci, ch)),
 n AS (SELECT *, row_number() OVER (ORDER BY turn, pos) AS scan FROM c)
-SELECT pos, s AS segment, t AS trigger, ch AS channel, candidate_id, scan FROM n WHERE scan <= 40""")
+SELECT pos, s AS segment, t AS trigger, ch AS channel, candidate_id, scan FROM n WHERE scan <= 200""")
 def axis_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as benchmarks; values that repeat another once normalised make no candidate."""
+    """Nations as benchmarks, up to the report's 200 candidates; values that repeat another once normalised make no candidate."""
     texts = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
-    rows = table(spark, sf_dir, "region").select(
-        F.col("r_regionkey").alias("pos"), F.concat(F.lit("BENCH-"), F.col("r_regionkey").cast("string")).alias("benchmark_id"), texts("Small shops", "small-SHOPS", "x").alias("segments"), texts("t1", "t2", "t3").alias("triggers"),
-        texts("form", "Form").alias("forms"), F.array("r_name").alias("regions"), texts("c1", "c2").alias("channels"), texts().alias("offers"),
+    rows = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("pos"), F.concat(F.lit("BENCH-"), F.col("n_nationkey").cast("string")).alias("benchmark_id"), texts("Small shops", "small-SHOPS", "x").alias("segments"), texts("t1", "t2", "t3").alias("triggers"),
+        texts("form", "Form").alias("forms"), F.array("n_name").alias("regions"), texts("c1", "c2").alias("channels"), texts().alias("offers"),
     )
-    return funnel.expanded(rows, limit=40).select("pos", "segment", "trigger", "channel", "candidate_id", F.col("scan").cast("long").alias("scan"))
+    return funnel.expanded(rows).select("pos", "segment", "trigger", "channel", "candidate_id", F.col("scan").cast("long").alias("scan"))
 
 
 @query("SELECT doc_id AS evidence_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents")

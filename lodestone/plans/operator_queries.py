@@ -286,32 +286,36 @@ def task_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATES = """
-s AS (SELECT user_id, count(DISTINCT event_type) AS n, arg_max(event_type, event_id) AS last, arg_max(value < 2, event_id) AS lastgone, bool_or(value < 2) AS anygone FROM events WHERE event_id % 40 = 0 GROUP BY user_id),
-c AS (SELECT user_id AS evidence_id, last AS current_revision_id, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'current' END AS status, CASE WHEN n > 1 THEN anygone ELSE lastgone END AS retracted FROM s)"""
+e AS (SELECT *, user_id || '/' || ts::DATE AS id FROM events),
+s AS (SELECT id, count(DISTINCT event_type) AS n, arg_max(event_type, event_id) AS last, arg_max(value < 2, event_id) AS lastgone, bool_or(value < 2) AS anygone FROM e GROUP BY id),
+c AS (SELECT id AS evidence_id, last AS current_revision_id, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'current' END AS status, CASE WHEN n > 1 THEN anygone ELSE lastgone END AS retracted FROM s)"""
 
 
 def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "events").where("event_id % 40 = 0")  # so that some have a single revision
-    return derivations.current_state(few.select(F.col("user_id").alias("evidence_id"), "event_id", F.col("event_type").alias("revision_id"), (F.col("value") < 2).alias("retracted")), "evidence_id", "event_id")
+    """A user's day is a piece of evidence, so some have a single revision and some several."""
+    rows = table(spark, sf_dir, "events").withColumn("evidence_id", F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    return derivations.current_state(rows.select("evidence_id", "event_id", F.col("event_type").alias("revision_id"), (F.col("value") < 2).alias("retracted")), "evidence_id", "event_id")
 
 
 @query(f"WITH {STATES} SELECT * FROM c")
 def current_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every fortieth event, so that some evidence has a single revision and some several."""
     return evidence_states(spark, sf_dir)
 
 
 @query(f"""
 WITH {STATES},
-r AS (SELECT e.user_id % 10 AS lead_id, e.user_id AS evidence_id, min(event_type) AS revision_id FROM events e GROUP BY e.user_id),
+r AS (SELECT user_id * 10 + day(ts) // 4 AS lead_id, user_id || '/' || (ts::DATE + 1) AS evidence_id, min(event_type) AS revision_id FROM events GROUP BY ALL),
 i AS (
   SELECT lead_id, CASE WHEN c.evidence_id IS NULL THEN 'missing' WHEN retracted THEN 'withdrawn' WHEN status = 'ambiguous' THEN 'unsure' WHEN current_revision_id IS DISTINCT FROM revision_id THEN 'changed' END AS issue
   FROM r LEFT JOIN c USING (evidence_id))
 SELECT lead_id, count(issue) AS issues, CASE WHEN count(issue) > 0 AND lead_id % 4 <> 0 THEN 'needs_review' WHEN lead_id % 4 = 0 THEN 'archived' ELSE 'observed_need' END AS research_status FROM i GROUP BY lead_id""")
 def lead_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("evidence_id")).agg(F.min("event_type").alias("revision_id")).withColumn("lead_id", F.col("evidence_id") % 10)
-    leads = users.select("lead_id", F.when(F.col("lead_id") % 4 == 0, "archived").otherwise("observed_need").alias("research_status")).distinct()
-    found = rules.lead_view(leads, users, evidence_states(spark, sf_dir))
+    """A lead cites the day after each of a user's days, which may have no evidence."""
+    day = F.to_date("ts")
+    lead = (F.col("user_id") * 10 + F.floor(F.dayofmonth(day) / 4)).alias("lead_id")
+    cited = table(spark, sf_dir, "events").groupBy(lead, F.concat_ws("/", F.col("user_id").cast("string"), F.date_add(day, 1).cast("string")).alias("evidence_id")).agg(F.min("event_type").alias("revision_id"))
+    leads = cited.select("lead_id", F.when(F.col("lead_id") % 4 == 0, "archived").otherwise("observed_need").alias("research_status")).distinct()
+    found = rules.lead_view(leads, cited, evidence_states(spark, sf_dir))
     return found.select("lead_id", F.coalesce(F.size("reference_issues"), F.lit(0)).cast("long").alias("issues"), "research_status")
 
 
@@ -434,9 +438,14 @@ def refresh_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT unnest([{quoted(catalog.PAID + catalog.COMMUNITY + catalog.MANUAL)}]) AS source, 1 AS n EXCEPT SELECT unnest([{quoted(catalog.CHINESE)}]), 1""")
+WITH d AS (SELECT ([{quoted(catalog.PAID + catalog.COMMUNITY + catalog.MANUAL)}])[1 + doc_id % {len(catalog.PAID + catalog.COMMUNITY + catalog.MANUAL)}] AS source, lang FROM documents)
+SELECT source, lang, count(*) AS n FROM d WHERE lang IS NOT NULL AND source NOT IN ({quoted(catalog.CHINESE)}) AND (source NOT IN ({quoted(catalog.COMMUNITY)}) OR lang = 'en') GROUP BY source, lang""")
 def english_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.routed(catalog.registry(spark), F.lit("en-GB")).select("source", F.lit(1).alias("n"))
+    """Documents dealt over the sources, and how many of them are of a language that their source is asked in."""
+    names = catalog.PAID + catalog.COMMUNITY + catalog.MANUAL
+    docs = table(spark, sf_dir, "documents").select(F.get(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names)).cast("int")).alias("source"), "lang")
+    asked = catalog.routed(docs.join(catalog.registry(spark), "source"), F.concat("lang", F.lit("-GB")))
+    return asked.groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-15 23:59:59.999999' OR event_id % 9 = 0 GROUP BY event_type")

@@ -290,3 +290,72 @@ def action(*checks: Column) -> Column:
     """What to do next: park on any conflict, clarify on any unknown, else validate."""
     found = F.array(*checks)
     return F.when(F.array_contains(found, "conflict"), "park").when(F.array_contains(found, "unknown"), "clarify").otherwise("validate")
+
+
+#: Names of the checks, what they say, and what follows from them (fixed values).
+SKILLS, LANGUAGES, CHANNEL, HOURS, BUDGET, DAYS = "技能", "语言", "渠道", "本周验证时间", "验证预算 USD", "MVP 工期"
+PLAN_TEXTS = ("hypothesis", "success_criteria", "stop_criteria")
+NOTHING_NEEDED, NOT_FILLED, MISSING, MATCHES = "已明确没有额外要求", "尚未填写项目要求或个人能力", "缺少：", "符合已填写要求"
+NO_CHANNEL, REACHABLE, UNREACHABLE = "尚未确认具体获客入口", "入口在个人已确认可触达的渠道中", "该渠道尚不在个人可触达入口中"
+NO_ESTIMATE, ESTIMATE, LIMIT, FILLED, TO_FILL = "缺少估算或个人上限", "估算 ", "；上限 ", "已填写", "验证前需补齐"
+NEXT_ACTIONS = {"park": "先解决资源或渠道冲突", "clarify": "补齐未知项后再安排实验", "validate": "执行小规模验证并记录真实行为"}
+
+
+def _check(name: str, status: Column, reason: Column) -> Column:
+    return F.struct(F.lit(name).alias("check"), status.alias("status"), reason.alias("reason"))
+
+
+def _ability(name: str, needed: Column, owned: Column) -> Column:
+    norm = lambda a: F.transform(a, fold)
+    lacking = F.array_sort(F.array_except(norm(needed), norm(owned)))
+    status = fit(needed, owned)
+    reason = F.when(F.size(needed) == 0, NOTHING_NEEDED).when(status == "unknown", NOT_FILLED).when(status == "pass", MATCHES)
+    return _check(name, status, reason.otherwise(F.concat(F.lit(MISSING), F.array_join(lacking, "、"))))
+
+
+def _estimate(name: str, value: Column, cap: Column) -> Column:
+    status = within(value, cap)
+    said = F.concat(F.lit(ESTIMATE), value.cast("string"), F.lit(LIMIT), cap.cast("string"))
+    return _check(name, status, F.when(status == "unknown", NO_ESTIMATE).otherwise(said))
+
+
+def assessed(candidates: DataFrame, plan: dict[str, Column], profile: dict[str, Column]) -> DataFrame:
+    """``candidates`` with what speaks for or against their next validation, given what a founder has.
+
+    ``plan``: required_skills, required_languages (arrays), acquisition_channel, hours, budget_usd,
+    mvp_days, hypothesis, success_criteria, stop_criteria; ``profile``: skills, languages,
+    reachable_channels (arrays), weekly_hours, validation_budget_usd, max_mvp_days. What is missing
+    of either counts as not filled in. Adds checks (check, status, reason), conflicts, unknowns, action,
+    next_action and market_validated, which no fit ever makes true. Columns of these names are replaced.
+    """
+    p = {k: plan.get(k, F.lit(None).cast("array<string>" if k.startswith("required_") else "string")) for k in ("required_skills", "required_languages", "acquisition_channel", *PLAN_TEXTS)}
+    own = {k: profile.get(k, F.lit(None).cast("array<string>")) for k in ("skills", "languages", "reachable_channels")}
+    number = lambda of, k: of.get(k, F.lit(None).cast("double"))
+    channel, reach = p["acquisition_channel"], own["reachable_channels"]
+    unsure = channel.isNull() | (F.trim(channel) == "") | reach.isNull()
+    known = F.array_contains(F.transform(reach, fold), fold(channel))
+    entry = F.when(unsure, "unknown").when(known, "pass").otherwise("conflict")
+    filled = {k: F.trim(F.coalesce(p[k], F.lit(""))) != "" for k in PLAN_TEXTS}
+    checks = [
+        _ability(SKILLS, p["required_skills"], own["skills"]), _ability(LANGUAGES, p["required_languages"], own["languages"]),
+        _check(CHANNEL, entry, F.when(unsure, NO_CHANNEL).when(known, REACHABLE).otherwise(UNREACHABLE)),
+        _estimate(HOURS, number(plan, "hours"), number(profile, "weekly_hours")), _estimate(BUDGET, number(plan, "budget_usd"), number(profile, "validation_budget_usd")),
+        _estimate(DAYS, number(plan, "mvp_days"), number(profile, "max_mvp_days")),
+        *[_check(k, F.when(filled[k], "pass").otherwise("unknown"), F.when(filled[k], FILLED).otherwise(TO_FILL)) for k in PLAN_TEXTS],
+    ]
+    of = lambda status: F.transform(F.filter("checks", lambda c: c["status"] == status), lambda c: c["check"])
+    rows = candidates.withColumn("checks", F.array(*checks)).withColumns({"conflicts": of("conflict"), "unknowns": of("unknown")})
+    rows = rows.withColumn("action", F.when(F.size("conflicts") > 0, "park").when(F.size("unknowns") > 0, "clarify").otherwise("validate"))
+    said = F.coalesce(*[F.when(F.col("action") == k, v) for k, v in NEXT_ACTIONS.items()])
+    return rows.withColumns({"next_action": said, "market_validated": F.lit(False)})
+
+
+def chosen(rows: DataFrame, key: str, order: list[str | Column], alternatives: int = 2) -> DataFrame:
+    """One row: the first candidate by ``order`` that is ready to validate, and the next few.
+
+    Only those few leave their tasks. Without any the first is null and the list empty.
+    """
+    ready = rows.where("action = 'validate'").orderBy(*order).limit(1 + alternatives).select(key)
+    ids = [r[0] for r in ready.collect()]
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(ids[0] if ids else None, ids[1:])], f"primary_validation {kind}, alternatives array<{kind}>")

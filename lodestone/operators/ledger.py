@@ -154,3 +154,37 @@ def digest(qualified: DataFrame, evidence: DataFrame, used: DataFrame, execution
         "cost_per_qualified_conclusion_usd": share(F.col("estimated_cost_usd"), "qualified_conclusion_count", 6),
         "cost_per_validated_family_usd": share(F.col("estimated_cost_usd"), "validated_opportunity_family_count", 6),
     })
+
+
+def usage(records: DataFrame, evidence: DataFrame, out: str) -> DataFrame:
+    """By source: how many records cite any of its evidence, as ``out``, and how much of it they use.
+
+    ``records``: record_id and marker of each citation; ``evidence``: source, marker, which stands
+    (what was withdrawn isn't in it). A citation that evidence doesn't have counts for nothing, and
+    a record once for a source, however often it cites it.
+    """
+    pairs = records.select("record_id", "marker").distinct().join(evidence.select("source", "marker").distinct(), "marker")
+    # two rounds of plain counts, so that a source with most of the records is no single task
+    by_record = pairs.groupBy("source", "record_id").agg(F.lit(1).alias("_")).groupBy("source").agg(F.count("*").alias(out))
+    by_marker = pairs.groupBy("source", "marker").agg(F.lit(1).alias("_")).groupBy("source").agg(F.count("*").alias(f"{out}_evidence"))
+    return by_record.join(by_marker, "source")
+
+
+def digest_by_source(executions: DataFrame, evidence: DataFrame, conclusions: DataFrame, leads: DataFrame) -> DataFrame:
+    """A row for each source that was asked, gave evidence or is cited.
+
+    ``executions`` as of ``cost_yield``; ``evidence``: source, marker; ``conclusions`` and
+    ``leads`` as of ``usage``. Requests, ok, error, estimated_cost_usd, normalized_evidence,
+    linked_conclusions and linked_research_leads, 0 where there is none. Null sources are 'unknown'.
+    """
+    named = lambda rows: rows.withColumn("source", F.coalesce("source", F.lit("unknown")))
+    known = named(evidence).select("source", "marker").distinct()
+    runs = named(executions).dropDuplicates(["content_hash"]).groupBy("source").agg(
+        F.count("*").alias("requests"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(~F.col("status").eqNullSafe("ok")).alias("error"), F.sum(F.col("cost_usd").cast(MONEY)).alias("estimated_cost_usd")
+    )
+    held = known.groupBy("source").agg(F.count("*").alias("normalized_evidence"))
+    rows = runs.join(held, "source", "full")
+    for records, out in ((conclusions, "linked_conclusions"), (leads, "linked_research_leads")):
+        rows = rows.join(usage(records, known, out).drop(f"{out}_evidence"), "source", "full")
+    counts = ("requests", "ok", "error", "normalized_evidence", "linked_conclusions", "linked_research_leads")
+    return rows.fillna(0, list(counts)).withColumn("estimated_cost_usd", F.coalesce("estimated_cost_usd", F.lit(0)).cast(MONEY))

@@ -22,20 +22,34 @@ KINDS = (
     ("community", COMMUNITY, "community-public", "free_public_api", ("search", "detail", "top_level_comments"), ("en",), True, False),
     ("manual", MANUAL, "host-verified-web", "no_network_import", ("import",), ("multilingual",), False, False),
 )
+#: What evidence any source may give (fixed values).
+EVIDENCE_ROLES = (
+    "official_pricing", "product_update", "product_review", "hiring", "outsourcing", "payment", "workflow_pain", "alternative", "regional_gap", "counter_evidence",
+    "usage_behavior", "creative_output", "learning_progress", "social_sharing",
+)
+#: Sources that can be searched by region (fixed values).
+BY_REGION = ("tiktok", "youtube")
 #: What single sources have beside or instead (fixed values).
 MORE_CAPABILITIES = (("xiaohongshu", ("comment_pagination", "comment_replies")), ("douyin", ("comment_pagination", "comment_replies")), ("twitter", ("comment_pagination", "latest_comments")))
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """The dimension table of sources: 27 rows, from the tables of kinds, sources and exceptions."""
+def registry(spark: SparkSession, credentials: dict[str, list[str]] | None = None) -> DataFrame:
+    """The dimension table of sources: 27 rows, from the tables of kinds, sources and exceptions.
+
+    ``credentials`` names what a caller configures for a source, or for all of a kind (paid,
+    community, manual); a source's own names come first. Health is what nobody has checked yet.
+    """
+    given = credentials or {}
     texts = "array<string>"
     kinds = spark.createDataFrame([(k[0], *k[2:]) for k in KINDS], f"kind string, provider string, cost string, shared {texts}, usual {texts}, default_enabled boolean, credential_required boolean")
-    sources = spark.createDataFrame([(name, k[0]) for k in KINDS for name in k[1]], "source string, kind string")
+    sources = spark.createDataFrame([(name, k[0], list(given.get(name, given.get(k[0], [])))) for k in KINDS for name in k[1]], f"source string, kind string, credentials {texts}")
     more = spark.createDataFrame(MORE_CAPABILITIES, f"source string, more {texts}")
     spoken = spark.createDataFrame([(name, ["zh"]) for name in CHINESE], f"source string, own {texts}")
     return sources.join(kinds, "kind").join(more, "source", "left").join(spoken, "source", "left").select(
         "source", "provider", "cost", F.concat("shared", F.coalesce("more", F.array().cast(texts))).alias("capabilities"),
         F.coalesce("own", "usual").alias("preferred_languages"), "default_enabled", "credential_required",
+        F.col("source").alias("platform"), F.array(F.lit("global")).alias("regions"), F.col("source").isin(*BY_REGION).alias("region_filter"), (F.col("kind") == "manual").alias("manual_import_only"),
+        "credentials", F.array(*[F.lit(r) for r in EVIDENCE_ROLES]).alias("evidence_roles"), F.lit("not_checked").alias("live_health"),
     )
 
 
@@ -51,6 +65,16 @@ def diagnosed(sources: DataFrame, configured: Column) -> DataFrame:
     return sources.withColumn("configuration_status", status.otherwise("configuration_ready"))
 
 
+def configured(sources: DataFrame, names: list[str]) -> DataFrame:
+    """``sources`` diagnosed by the names of credentials that are set, and which of theirs are.
+
+    Only names are asked for, never values; a source without credentials has all of them.
+    """
+    present = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    rows = diagnosed(sources, F.size(F.array_except("credentials", present)) == 0)
+    return rows.withColumn("credentials_set", F.map_from_arrays("credentials", F.transform("credentials", lambda c: F.array_contains(present, c))))
+
+
 def interleaved(tasks: DataFrame, topic: str) -> DataFrame:
     """``tasks`` (topic, list: entry or subtrack, n from 0) with ``slot``: entries and subtracks in turns."""
     turn = F.struct("n", F.when(F.col("list") == "entry", 0).otherwise(1).alias("side"))

@@ -40,11 +40,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
+    "Artistic-2.0": ("The Artistic License 2.0", "Licensed under the Artistic License 2.0."),
+    "BSL-1.0": (
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
     "CC0-1.0": (
         "CC0 1.0 Universal",
         "Licensed under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, which is dedicated to the public domain under CC0 1.0.",
     ),
+    "EPL-1.0": (
+        "Eclipse Public License - v 1.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+        "Licensed under the Eclipse Public License 1.0.",
+    ),
+    "EUPL-1.2": ("European Union Public Licence v. 1.2", "Licensed under the EUPL, Version 1.2."),
     "EPL-2.0": (
         "Eclipse Public License - v 2.0",
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
@@ -69,11 +82,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
+    "MIT-0": ("MIT No Attribution", "Released under the MIT No Attribution License."),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Mozilla Public License Version 2.0",
     ),
+    "PSF-2.0": ("Python Software Foundation License Version 2", "Licensed under the Python Software Foundation License Version 2."),
+    "Zlib": (
+        "zlib License",
+        "Licensed under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -113,7 +134,7 @@ for _spdx in sorted(TEMPLATES):
     _names = [_spdx, *(f"{_spdx}-{x}" for x in ("only", "or-later") if "GPL" in _spdx)]
     TEMPLATES[_spdx] += tuple(f"SPDX-License-Identifier: {x}" for x in _names)
 #: What a sentence must hold to be compared at all (fixed values).
-CUES = ("licen", "redistribution", "permission is hereby granted", "permission to use, copy", "public domain", "cc0")
+CUES = ("licen", "redistribution", "permission is hereby granted", "permission is granted", "permission to use, copy", "public domain", "cc0", "as-is", "no attribution")
 #: File names that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([-._].*)?$"
 SENTENCE_END = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"(])|\n+")
@@ -125,6 +146,43 @@ COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+|;+|--+|<!--|%+|dnl
 BSD_BINARY, BSD_THIRD = "in binary form must reproduce the above copyright", re.compile(r"neither the names?\b|endorse or promote|\b3-clause\b")
 
 
+#: An identifier's tag with its expression, and a sentence that grants several licences.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*(.+)", re.I)
+GRANT = re.compile(r"\blicensed under (?:the terms of )?(?:either |both |any )?(?:of )?(?:the )?(?P<names>.+)", re.I | re.S)
+BETWEEN = re.compile(r",? (?:or|and|and/or)(?: the)? |; ?", re.I)
+
+
+def expression(text: str) -> list[str]:
+    """The identifiers of an SPDX expression, up to where its grammar ends; exceptions (WITH) name no licence."""
+    names, expected = [], "name"
+    for token in re.findall(r"[A-Za-z0-9.+-]+", text):
+        if token.upper() in ("AND", "OR"):
+            expected = "name"
+        elif token.upper() == "WITH":
+            expected = "exception"
+        elif expected == "name":
+            names.append(re.sub(r"\+$", "-or-later", token))
+            expected = None
+        elif expected == "exception":
+            expected = None
+        else:
+            break
+    return names
+
+
+def alternatives(sentence: str) -> list[str]:
+    """A sentence of the templates' form for each licence of an expression, or of a grant that names several.
+
+    Empty where it says but one thing, and is compared as it is.
+    """
+    if tag := TAG.search(sentence):
+        names = expression(tag[1])
+        return [f"SPDX-License-Identifier: {n}" for n in names] if names != tag[1].split() else []
+    grant = GRANT.search(sentence)
+    parts = [p.strip(" .,;()") for p in BETWEEN.split(grant["names"])] if grant else []
+    return [f"Licensed under the {p}." for p in parts if p] if len(parts) > 1 else []
+
+
 def sentences(text: str) -> Iterator[str]:
     """The sentences of each line, and those of each paragraph with its wrapped lines joined, without comment marks."""
     yield from SENTENCE_END.split(text)
@@ -171,51 +229,80 @@ class Matcher:
         return {t: v / norm for t, v in x.items()}
 
     def best(self, sentence: str) -> tuple[float, str]:
-        """The highest cosine and its licence; templates of another version than the sentence names don't count."""
+        """The highest cosine and its licence."""
+        return next(iter(self.ranked(sentence)), (0.0, ""))
+
+    def ranked(self, sentence: str) -> list[tuple[float, str]]:
+        """The two licences of the highest cosines; templates of another version than the sentence names don't count."""
         counts = terms(sentence)
         named, cosines = versions(counts), defaultdict(float)
         for t, v in self.vector(counts).items():
             for k, w in self.postings.get(t, ()):
                 cosines[k] += v * w
-        scored = ((x, self.vectors[k][0]) for k, x in cosines.items() if not (named and self.versions[k] and named.isdisjoint(self.versions[k])))
-        return max(scored, key=lambda s: (round(s[0], 9), [-ord(c) for c in s[1]]), default=(0.0, ""))
+        of: dict[str, float] = {}
+        for k, x in cosines.items():
+            name = self.vectors[k][0]
+            if x > of.get(name, 0.0) and not (named and self.versions[k] and named.isdisjoint(self.versions[k])):
+                of[name] = x
+        return [(x, name) for name, x in sorted(of.items(), key=lambda s: (-round(s[1], 9), s[0]))[:2]]
 
     def scan(self, text: str | None, threshold: float) -> tuple[str | None, float]:
         """The licence of the best sentence of a whole text, and its cosine."""
-        low, found = (text or "").lower(), (0.0, "")
+        return self.scan_all(text, threshold)[:2]
+
+    def scan_all(self, text: str | None, threshold: float) -> tuple[str | None, float, list[str], str | None, float]:
+        """As ``scan``, with all licences that sentences name, and the best sentence's second and its distance.
+
+        A sentence that names several licences is compared as a whole and by what it says of each.
+        """
+        low, found, second, named = (text or "").lower(), (0.0, ""), (0.0, None), {}
         if any(c in low for c in CUES):
-            for sentence in dict.fromkeys(sentences(text)):
+            each = [s for whole in dict.fromkeys(sentences(text)) for s in (whole, *alternatives(whole))]
+            for sentence in dict.fromkeys(each):
                 if any(c in sentence.lower() for c in CUES):
-                    score, name = self.best(sentence)
-                    if score > found[0]:
-                        found = (score, name)
-        if found[1] == "BSD-3-Clause":
+                    first, *rest = self.ranked(sentence) or [(0.0, "")]
+                    if first[0] >= threshold:
+                        named[first[1]] = max(named.get(first[1], 0.0), first[0])
+                    if first[0] > found[0]:
+                        found, second = first, (rest or [(0.0, None)])[0]
+        if "BSD-3-Clause" in named:
             flat = " ".join(COMMENT.sub("", x) for x in low.split("\n"))
             if BSD_BINARY in flat and not BSD_THIRD.search(flat):
-                found = (found[0], "BSD-2-Clause")
-        return (found[1], round(found[0], 6)) if found[0] >= threshold else (None, 0.0)
+                named["BSD-2-Clause"] = max(named.get("BSD-2-Clause", 0.0), named.pop("BSD-3-Clause"))
+                if found[1] == "BSD-3-Clause":
+                    found, second = (found[0], "BSD-2-Clause"), (found[0], "BSD-3-Clause")
+        if found[0] < threshold:
+            return None, 0.0, [], None, 0.0
+        return found[1], round(found[0], 6), sorted(named), second[1], round(found[0] - second[0], 6)
+
+
+#: What the scan adds.
+FOUND = {"license": pa.string(), "score": pa.float64(), "licenses": pa.list_(pa.string()), "runner_up": pa.string(), "margin": pa.float64()}
 
 
 def with_license(files: DataFrame, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``files`` with ``license`` (null: none reaches the threshold) and ``score``.
+    """``files`` with ``license`` (null: none reaches the threshold), ``score``, ``licenses``,
+    ``runner_up`` and ``margin``; columns of these names are replaced.
 
     Every sentence of the whole text that has a cue is compared with every notice, within its
-    line and with the wrapped lines of its paragraph joined.
+    line and with the wrapped lines of its paragraph joined. ``licenses`` are all that any sentence
+    names (an expression or a grant may name several, a text may speak of another's), sorted;
+    ``runner_up`` is the next licence of the best sentence, ``margin`` how much lower it scores.
     """
-    kept = [c for c in files.columns if c not in ("license", "score")]
+    kept = [c for c in files.columns if c not in FOUND]
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher()
         for batch in batches:
-            found = [matcher.scan(t.as_py(), threshold) for t in batch.column(at)]
-            columns = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
+            found = [matcher.scan_all(t.as_py(), threshold) for t in batch.column(at)]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(FOUND.values())]
             rest = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*rest, *columns], names=names)
 
     rest = [c for c in kept if c != text]
-    names = [*rest, "license", "score"]
-    schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest), "license string", "score double"])
+    names = [*rest, *FOUND]
+    schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest), "license string", "score double", "licenses array<string>", "runner_up string", "margin double"])
     return spread(files.select(*[F.col(f"`{c}`") for c in kept])).mapInArrow(run, schema)
 
 

@@ -14,6 +14,7 @@ from lodestone.llm import (
     maxent,
     media,
     mixing,
+    more_queries,
     packing,
     quality,
     sharding,
@@ -157,7 +158,7 @@ QUERIES = {
         op12_lexical_search,
         op13_filter_audit,
     )
-}
+} | more_queries.QUERIES
 
 WORD = r"[^\x20\x09-\x0D]+"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -306,4 +307,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_gone <= 0.5 * n_words AS kept
 FROM counted
 """,
-}
+} | more_queries.ORACLE

@@ -83,9 +83,9 @@ def trimmed(items: DataFrame, packet: list[str], text: str, order: str, size: st
 
 
 def reading_batches(items: DataFrame, position: str, max_items: int = 15) -> DataFrame:
-    """``items`` with the batch READ-nnnn in which they are read."""
-    n = F.floor((F.col(position) - 1) / max_items) + 1
-    return items.withColumn("batch_id", F.concat(F.lit("READ-"), F.lpad(n.cast("string"), 4, "0")))
+    """``items`` with the batch READ-nnnn in which they are read; from the 10,000th on, with as many digits as it takes."""
+    n = (F.floor((F.col(position) - 1) / max_items) + 1).cast("string")
+    return items.withColumn("batch_id", F.concat(F.lit("READ-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))))
 
 
 def without(items: DataFrame, packet: DataFrame) -> DataFrame:

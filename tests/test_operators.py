@@ -203,6 +203,12 @@ def test_diversity_and_batches(spark):
     assert [r.batch_id for r in rows] == ["READ-0001"] * 4 + ["READ-0002"] * 4 + ["READ-0003"]
 
 
+def test_batches_from_the_ten_thousandth_on_keep_all_digits(spark):
+    frame = spark.createDataFrame([(p,) for p in (1, 149_985, 149_986, 1_500_000)], "position long")
+    rows = claims.reading_batches(frame, "position").orderBy("position").collect()
+    assert [r.batch_id for r in rows] == ["READ-0001", "READ-9999", "READ-10000", "READ-100000"]
+
+
 def test_claims(spark):
     catalog = spark.createDataFrame([("e1", "r1", "the exact words"), ("e1", "r2", "new words"), ("e2", "r1", "x")], "evidence_id string, revision_id string, original_text string")
     refs = "array<struct<evidence_id:string,revision_id:string,quote:string>>"

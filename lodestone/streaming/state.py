@@ -121,23 +121,27 @@ class Pages(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "comments long")
-        self.comments = handle.getMapState("comments", "id string", "page long")
-        self.requests = handle.getMapState("requests", "cursor string", "page long")
+        self.read = handle.getListState("read", "cursor string, ids array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        seen = self.count.get()[0] if self.count.exists() else 0
+        # What was seen is read once for a post's pages, and what they add is appended once: each call costs a trip to the JVM.
+        seen, requests, comments, added = 0, set(), set(), []
+        if self.count.exists():
+            seen = self.count.get()[0]
+            for cursor, ids in self.read.get():
+                requests.add(cursor)
+                comments.update(ids)
         for r in sorted(rows, key=lambda r: (r.page, r.seq)):
-            asked = (r.cursor or "",)
-            if self.requests.containsKey(asked):
+            asked = r.cursor or ""
+            if asked in requests:
                 yield _row(PAGED, key[0], r.page, 0, seen, "repeated_request", None)
                 continue
-            self.requests.updateValue(asked, (r.page,))
             ids = {x for x in (r.comment_ids or ()) if x is not None}
-            new = [x for x in sorted(ids) if not self.comments.containsKey((x,))]
-            for x in new:
-                self.comments.updateValue((x,), (r.page,))
+            new = sorted(ids - comments)
+            requests.add(asked)
+            comments.update(new)
+            added.append((asked, new))
             seen += len(new)
-            self.count.update((seen,))
             following = r.next_cursor or ""
             if not ids:
                 decision = "empty_page" if r.has_more is False else "empty_or_unrecognized_page"
@@ -149,11 +153,14 @@ class Pages(StatefulProcessor):
                 decision = "page_limit"
             elif not following:
                 decision = "pagination_unknown"
-            elif self.requests.containsKey((following,)):
+            elif following in requests:
                 decision = "repeated_cursor"
             else:
                 decision = "next_page_planned"
             yield _row(PAGED, key[0], r.page, len(new), seen, decision, following if decision == "next_page_planned" else None)
+        if added:
+            self.read.appendList(added)
+            self.count.update((seen,))
 
     def close(self) -> None:
         pass
@@ -163,9 +170,10 @@ def comment_pages(pages: DataFrame, max_pages: int = 3, max_comments: int = 100)
     """Of each page of a post's comments: how many are new, and whether and where reading carries on.
 
     ``pages``: post_id, page, seq, cursor (that the page was asked by), comment_ids, has_more,
-    next_cursor. Comments and cursors that were seen are kept in maps by post, an entry each, so a
-    page costs what it holds and not what the post has had; a query that starts again from its
-    checkpoint goes on as if it had never stopped. Pages without a post are dropped. Needs the
+    next_cursor. Comments and cursors that were seen are a list by post, an entry for each page: a
+    micro-batch appends what a post's pages add to it, and reads it once for each post that has new
+    pages, whatever the number of their comments. A query that starts again from its checkpoint
+    goes on as if it had never stopped. Pages without a post are dropped. Needs the
     RocksDB state store.
     """
     rows = pages.where("post_id is not null")

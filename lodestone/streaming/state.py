@@ -30,19 +30,20 @@ class Leases(StatefulProcessor):
         self.lease = handle.getValueState("lease", "lease_id string, worker string, expires_ms long, done boolean")
         self.submissions = handle.getMapState("submissions", "submission_id string", "lease_id string, worker string, digest string")
 
-    def _now(self) -> Any:
+    def _stored(self) -> Any:
         return tuple(self.lease.get()) if self.lease.exists() else None
 
-    def _free(self, expires: int) -> None:
-        self.lease.clear()
-        self.handle.deleteTimer(expires)
+    def _before(self, submission: Any) -> Any:
+        """What was handed in under an id; asked of the store once."""
+        if submission not in self.known:
+            self.known[submission] = tuple(self.submissions.getValue((submission,))) if self.submissions.containsKey((submission,)) else None
+        return self.known[submission]
 
     def _decide(self, batch: str, r: Row) -> Iterator[tuple]:
-        held = self._now()
+        held = self.held
         if held and not held[3] and held[2] <= r.at_ms:
-            self._free(held[2])
             yield (batch, held[2], None, "expiry", held[1], held[0], "expired")
-            held = None
+            held = self.held = None
         said = lambda word: (batch, r.at_ms, r.seq, r.kind, r.worker, r.lease_id, word)
         own = held and not held[3] and (held[0], held[1]) == (r.lease_id, r.worker)
         if r.kind == "claim":
@@ -53,36 +54,50 @@ class Leases(StatefulProcessor):
             elif not SHORTEST <= (r.seconds or 0) <= LONGEST or not r.worker or not r.lease_id:
                 yield said("refused: invalid")
             else:
-                expires = r.at_ms + 1000 * r.seconds
-                self.lease.update((r.lease_id, r.worker, expires, False))
-                self.handle.registerTimer(expires)
+                self.held = (r.lease_id, r.worker, r.at_ms + 1000 * r.seconds, False)
                 yield said("claimed")
         elif r.kind == "submit":
-            before = tuple(self.submissions.getValue((r.submission_id,))) if self.submissions.containsKey((r.submission_id,)) else None
+            # Work that is handed in ends the batch for good, so before that there is none to look up.
+            before = self._before(r.submission_id) if held and held[3] else None
             if before:
                 same = (before[0], before[1], before[2]) == (r.lease_id, r.worker, r.digest)
                 yield said("repeated" if same else "refused: another submission")
             elif not own:
                 yield said("refused: no lease")
             else:
-                self.submissions.updateValue((r.submission_id,), (r.lease_id, r.worker, r.digest))
-                self.handle.deleteTimer(held[2])
-                self.lease.update((held[0], held[1], held[2], True))
+                self.known[r.submission_id] = (r.lease_id, r.worker, r.digest)
+                self.submissions.updateValue((r.submission_id,), self.known[r.submission_id])
+                self.held = (held[0], held[1], held[2], True)
                 yield said("committed")
         elif r.kind == "release":
             if own:
-                self._free(held[2])
+                self.held = None
             yield said("released" if own else "refused: no lease")
         else:
             yield said("refused: unknown kind")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # The store is read once for a batch's events and told once what they leave, as each call costs a trip to the JVM.
+        stored = self.held = self._stored()
+        self.known: dict = {}
         for r in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
             for out in self._decide(key[0], r):
                 yield _row(LEASED, *out)
+        if self.held == stored:
+            return
+        timer = lambda lease: lease[2] if lease and not lease[3] else None
+        old, new = timer(stored), timer(self.held)
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is not None and old != new:
+            self.handle.registerTimer(new)
+        if self.held:
+            self.lease.update(self.held)
+        else:
+            self.lease.clear()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self._now()
+        held = self._stored()
         if held and not held[3] and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
             self.lease.clear()
             yield _row(LEASED, key[0], held[2], None, "expiry", held[1], held[0], "expired")

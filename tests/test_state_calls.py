@@ -55,3 +55,20 @@ def test_pages_ask_the_store_once_for_a_post_whatever_its_comments():
     then = list(pages.handleInputRows(("p",), iter([page(1, ["x"], "t1", "t2"), page(2, ["a1", "a699", "b"], "t2", "t1")]), None))
     assert [(r.added, r.comments, r.decision) for r in then] == [(0, 700, "repeated_request"), (1, 701, "repeated_cursor")]
     assert sum(store.calls.values()) <= 10
+
+
+def test_leases_ask_the_store_once_for_a_batch_whatever_its_events():
+    event = lambda at, kind, worker: Row(at_ms=at, seq=at, kind=kind, worker=worker, lease_id=worker, seconds=10, submission_id=f"s{worker}", digest="d")
+    store = Store()
+    leases = state.Leases()
+    leases.init(store)
+    many = [event(k * 1000, ("claim", "release")[k % 2], "w") for k in range(401)]
+    found = list(leases.handleInputRows(("b",), iter(many), None))
+    assert Counter(r.decision for r in found) == {"claimed": 201, "released": 200}
+    assert sum(store.calls.values()) <= 4
+    assert store.timers == {410_000}
+    found = list(leases.handleInputRows(("b",), iter([event(411_000, "submit", "w"), event(412_000, "claim", "v"), event(413_000, "submit", "v"), event(414_000, "submit", "v")]), None))
+    assert [r.decision for r in found] == ["expired", "refused: no lease", "claimed", "committed", "repeated"]
+    assert store.timers == set()
+    found = list(leases.handleInputRows(("b",), iter([event(500_000, "submit", "v"), event(500_001, "submit", "w"), event(500_002, "claim", "w")]), None))
+    assert [r.decision for r in found] == ["repeated", "refused: no lease", "refused: done"]

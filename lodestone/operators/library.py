@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import materialise
+
 OPTIONAL = {"published_at": "timestamp", "historical_import": "boolean", "retracted": "boolean", "status": "string", "run_id": "string", "source": "string", "url": "string"}
 
 
@@ -133,11 +135,22 @@ def resolved(references: DataFrame, records: DataFrame) -> DataFrame:
             F.struct(F.lit(3).alias("rank"), F.col("url").alias("key")),
         )).alias("w"),
     ).where("w.key is not null")
-    fits = (F.col("revision_id").isNull() | (F.col("revision_id") == F.col("_rev"))) & (F.col("quote").isNull() | F.contains(F.col("_text"), F.col("quote")))
-    hits = ways.join(index, (F.col("w.key") == F.col("_key")) & (F.col("w.rank") == F.col("_rank"))).where(fits)
-    # The least and the greatest match tell one from many, however many there are.
+    # The least and the greatest match tell one from many, however many there are. Without a quote they follow
+    # from the key, and the revision if one is given, so a key that many records share makes no row for each pair.
     match = F.struct("_id", "_rev")
-    best = hits.groupBy("ref_id", F.col("w.rank").alias("rank")).agg(F.struct(F.min(match).alias("low"), F.max(match).alias("high")).alias("found"))
+    ends = (F.min(match).alias("low"), F.max(match).alias("high"))
+    same = (F.col("w.key") == F.col("_key")) & (F.col("w.rank") == F.col("_rank"))
+    of_key = materialise(index.groupBy("_key", "_rank").agg(*ends), "keys")  # plain joins then, of which Spark splits the hot side
+    of_revision = materialise(index.where("_rev is not null").groupBy("_key", "_rank", "_rev").agg(*ends), "revisions")
+    unquoted = ways.where("quote is null")
+    parts = [
+        unquoted.where("revision_id is null").join(of_key, same).select("ref_id", "w.rank", "low", "high"),
+        unquoted.where("revision_id is not null").join(of_revision, same & (F.col("revision_id") == F.col("_rev"))).select("ref_id", "w.rank", "low", "high"),
+        ways.where("quote is not null").join(index, same).where((F.col("revision_id").isNull() | (F.col("revision_id") == F.col("_rev"))) & F.contains(F.col("_text"), F.col("quote")))
+        .select("ref_id", "w.rank", match.alias("low"), match.alias("high")),
+    ]
+    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    best = hits.groupBy("ref_id", "rank").agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high")).alias("found"))
     best = best.groupBy("ref_id").agg(F.min_by("found", "rank").alias("found"))
     one = F.when(F.col("found.low") == F.col("found.high"), F.col("found.low"))
     problem = F.when(F.col("found").isNull(), "missing").when(F.col("found.low") != F.col("found.high"), "ambiguous")

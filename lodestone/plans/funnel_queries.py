@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.shared import dealt
 from lodestone.operators import funnel, ledger
 from lodestone.plans import catalog
 from lodestone.plans.queries import query, quoted, table
@@ -33,7 +34,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     rows = table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
     real = F.col("o_orderkey").isNotNull()
-    gathered = rows.groupBy("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey").agg(
+    gathered = dealt(rows, "c_custkey").groupBy("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey").agg(
         F.count("o_orderkey").alias("mvp_days"), F.array_compact(F.collect_list(F.when(real, F.struct(*shared, demo)))).alias("evidence"),
         F.array_compact(F.collect_list(F.when(real, paid))).alias("payment_signals"), F.array_compact(F.collect_list(F.when(real, asked))).alias("demand_signals"),
         F.array_compact(F.collect_set("o_orderpriority")).alias("needed"), F.sum("o_totalprice").alias("spent"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids, text, times
-from lodestone.functions.shared import new_path
+from lodestone.functions.shared import dealt, new_path
 from lodestone.operators import claims, coverage, derivations, discovery, funnel, ledger, library, needs, publish, quality, rules
 from lodestone.plans import catalog
 from lodestone.plans.queries import TIER, URL_PARTS, candidates, event_log, labelled, moment, query, quoted, table
@@ -369,7 +369,7 @@ SELECT c_custkey, 'see {text.PATH_GONE} and {text.CONTACT_GONE} or {text.CONTACT
 def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     told = F.concat(F.lit("see /home/u"), k, F.lit("/x and a.b"), k, F.lit("@mail.org or +86 13812345678; at https://h.org/"), k, F.lit(" not http://shop.local:80/x nor http://box nor http://10.0.0."), k, F.lit("/y?z ("), "c_name", F.lit(")"))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.redacted(told).alias("told"), text.redacted(told, 4 + len(text.PATH_GONE)).alias("short"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", text.redacted(told).alias("told"), text.redacted(told, 4 + len(text.PATH_GONE)).alias("short"))
 
 
 @query("""
@@ -554,7 +554,7 @@ def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((n % 5 == 0) & (n % 7 == 0), F.array(F.lit("ab"), tag, F.lit("ab"))).otherwise(F.array(F.lit("ab"), tag)).alias("tags"),
         F.when(n % 4 == 0, "2026-02-30").otherwise("2026-07-14").alias("day"), F.when(n % 6 == 0, "https://u@h.org/").otherwise("https://h.org/a").alias("link"), F.when(n % 9 == 0, "long text").otherwise("abc").alias("price"), F.when(n % 8 == 0, "x").alias("zone"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(body).alias("d")).select("p_partkey", F.array_join(publish.schema_problems(F.col("d"), CONTRACT), "; ").alias("problems"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")).select("p_partkey", F.to_json(body).alias("d")).select("p_partkey", F.array_join(publish.schema_problems(F.col("d"), CONTRACT), "; ").alias("problems"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 
 from lodestone.functions import shared
+from lodestone.plans import funnel_queries, operator_queries, queries  # noqa: F401  (the first two add to the registry)
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -43,3 +44,15 @@ def test_the_entry_imports_without_the_training_data_operators(tmp_path, left):
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); import importlib.util as u; s = u.spec_from_file_location('e', {str(tmp_path / '__spark_entry__.py')!r}); m = u.module_from_spec(s); s.loader.exec_module(m); q = m.queries(); print(len(q), any(n.startswith('op') for n in q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 80 and out[1] == "False"
+
+
+def test_costly_rows_of_one_row_group_are_dealt_over_many_tasks(spark):
+    """A table of one row group gave one task, and an aggregate of few bytes few; neither may be made fewer again."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        for query in (queries.QUERIES["redactions"], queries.QUERIES["schema_problems"], queries.QUERIES["evidence_tiers"]):
+            assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 7
+    finally:
+        spark.conf.set(name, before)

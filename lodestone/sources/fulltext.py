@@ -124,7 +124,7 @@ class FullTextIndex:
         """Makes the smallest segments one while there are over ``most``; returns the version that holds.
 
         As in size tiers, the segments that are merged are those of the fewest words, as many as
-        leave ``most``, so large ones are rewritten rarely. Replaced segments stay for readers of
+        leave ``most``, so large ones are rewritten rarely; one that only empty ones join isn't. Replaced segments stay for readers of
         earlier versions until ``vacuum``.
         """
         version = self.version()
@@ -132,6 +132,10 @@ class FullTextIndex:
         if len(held) <= most:
             return version
         old, kept = held[: len(held) - most + 1], held[len(held) - most + 1 :]
+        filled = [s for s in old if s["texts"]]
+        if len(filled) < 2:  # nothing to join: those without texts go
+            self._commit([*kept, *(filled or old[:1])], version + 1)
+            return version + 1
         postings, texts = (self._union(old, t) for t in ("postings", "texts"))
         self._commit([*kept, self._written(postings, texts)], version + 1)
         return version + 1

@@ -77,3 +77,14 @@ def test_edges(spark, tmp_path):
     with pytest.raises(RuntimeError, match="there already"):
         late._commit([], 2)
     assert late.version() == 2
+
+
+def test_a_merge_with_empty_segments_rewrites_nothing(spark, tmp_path):
+    index = FullTextIndex(spark, f"file://{tmp_path}/index", ["k"])
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "k int, t string")
+    for _ in range(2):
+        index.add(docs, "t")
+    first = [s["name"] for s in index.segments() if s["texts"]]
+    index.merge(1)
+    assert [s["name"] for s in index.segments()] == first
+    assert sorted(r.k for r in index.search(["b"]).collect()) == [1, 2]

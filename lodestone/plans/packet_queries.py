@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.shared import new_path
+from lodestone.functions.shared import materialise, new_path
 from lodestone.operators import discovery, graphs, packets, reading
 from lodestone.plans.queries import ORACLE, moment, query, table
 from lodestone.sources.fulltext import FullTextIndex
@@ -85,23 +85,28 @@ sized AS (SELECT nation, a, b, length(a) + length(b) + length((length(a) + lengt
 SELECT nation, a || n || b AS packet, n::BIGINT AS serialized_chars FROM sized""".replace("{fixed}", str(sum(map(len, packets._pieces("2001-01-01", "tables", ["evidence_superseded", "claims_future", "claims_unavailable_evidence"], MOST_ITEMS, MOST_CHARS))))))
 def claim_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each nation's orders a packet: an order claims what its lines cite, kinds of parts, and suppliers are its experiments."""
-    kind = F.concat_ws(" ", "p_brand", "p_type")
+    kind = F.concat_ws(" ", "p_brand", "p_type").alias("id")
     part = table(spark, sf_dir, "part")
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = orders.join(part, F.col("p_partkey") == F.col("l_partkey")).withColumns({"nation": F.col("c_nationkey"), "id": kind, "future": F.col("o_orderdate") > moment("2001-01-01 00:00:00")})
-    kinds = part.groupBy("p_brand", kind.alias("id")).agg(F.min("p_partkey").alias("position"), F.min("p_name").alias("title"))
-    shown = lines.select("nation", "id", "p_brand").distinct().join(kinds, ["id", "p_brand"])
+    kinds = part.groupBy("p_brand", kind).agg(F.min("p_partkey").alias("position"), F.min("p_name").alias("title"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    orders = orders.select(F.col("c_nationkey").alias("nation"), "o_orderkey", (F.col("o_orderdate") > moment("2001-01-01 00:00:00")).alias("future"), "o_orderstatus", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").join(part.select("p_partkey", "p_brand", kind), F.col("p_partkey") == F.col("l_partkey"))
+    ref = F.struct("l_linenumber", "p_partkey", "id", "p_brand", F.to_json(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("json"))
+    # All else is made of orders with their lines, which are joined once.
+    orders = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("nation", "o_orderkey", "future").agg(
+        F.min("o_orderstatus").alias("status"), F.min("o_orderpriority").alias("text"), F.array_sort(F.collect_list(ref)).alias("refs")
+    )
+    orders = materialise(orders, "orders")
+    shown = orders.select("nation", F.explode("refs").alias("ref")).select("nation", "ref.id", "ref.p_brand").distinct()
+    shown = materialise(shown.join(kinds, ["id", "p_brand"]), "shown")
     text = F.to_json(F.struct(F.col("id").alias("evidence_id"), "title", F.array().cast("array<string>").alias("text_refs")))
     evidence = shown.where("p_brand <> 'Brand#7'").select("nation", "id", "position", text.alias("json"))
     name = F.concat(F.lit("order-"), "o_orderkey")
-    ref = F.struct("l_linenumber", "p_partkey", F.struct("id", F.to_json(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("json")).alias("ref"))
-    claims = lines.where("not future").groupBy("nation", name.alias("id"), F.col("o_orderkey").alias("position")).agg(
-        F.to_json(F.struct(name.alias("claim_id"), F.min("o_orderstatus").alias("status"), F.min("o_orderpriority").alias("text"))).alias("json"),
-        F.transform(F.array_sort(F.collect_list(ref)), lambda x: x["ref"]).alias("refs"),  # the lines of one order
-    )
+    claim = F.to_json(F.struct(name.alias("claim_id"), "status", "text"))
+    claims = orders.where("not future").select("nation", name.alias("id"), F.col("o_orderkey").alias("position"), claim.alias("json"), "refs")
     supplier = F.concat(F.lit("s"), "s_suppkey")
     tests = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), supplier.alias("id"), F.col("s_suppkey").alias("position"), F.to_json(F.struct(supplier.alias("experiment_id"), F.col("s_name").alias("name"))).alias("json"))
-    before = shown.where("p_brand = 'Brand#7'").groupBy("nation").agg(F.count("*").alias("evidence_superseded")).join(lines.where("future").groupBy("nation").agg(F.count_distinct("o_orderkey").alias("claims_future")), "nation", "full").na.fill(0)
+    before = shown.where("p_brand = 'Brand#7'").groupBy("nation").agg(F.count("*").alias("evidence_superseded")).join(orders.where("future").groupBy("nation").agg(F.count("*").alias("claims_future")), "nation", "full").na.fill(0)
     return packets.packets(evidence, claims, tests, ["nation"], "2001-01-01", "tables", before, MOST_ITEMS, MOST_CHARS)
 
 
